@@ -1,8 +1,7 @@
 """Join helpers.
 
 Equi-joins carry no size hints: Spark broadcasts a side whose measured size is
-under its threshold and splits skewed shuffle partitions otherwise. The two
-helpers below cover what it cannot see.
+under its threshold and splits skewed shuffle partitions otherwise.
 """
 
 from __future__ import annotations
@@ -33,11 +32,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner
     other = right.withColumnRenamed(on, f"_{on}")
     return left.join(other, F.col(on).eqNullSafe(F.col(f"_{on}")), how).drop(f"_{on}")
 
-
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
-    """Inner join spread over ``salts`` tasks per key, for a small right side with hot keys on the left."""
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-        "_salt", F.col("_salt").cast("bigint")
-    )
-    return spread.join(copies, [*on, "_salt"]).drop("_salt")

@@ -90,6 +90,21 @@ def did_ols(panel: DataFrame, cluster: str = "group_id") -> tuple[DataFrame, Dat
     )
 
 
+def whole_groups(batches, key: str):
+    """Frames of one key each from batches sorted by key."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf])
+        if pdf.empty:
+            continue
+        last = pdf[key].iloc[-1]
+        rest = pdf[pdf[key] == last]
+        for _, part in pdf[pdf[key] != last].groupby(key):
+            yield part
+    if rest is not None:
+        yield rest
+
+
 def fixed_effects(
     panel: DataFrame, entity: str = "group_id", time: str = "quarter_issue_date_dt"
 ) -> tuple[DataFrame, DataFrame]:
@@ -124,19 +139,11 @@ def fixed_effects(
     grouped = slim.repartition("e").sortWithinPartitions("e")
 
     def products(batches):
-        total, rest, n, groups = np.zeros((width, width)), None, 0, 0
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf])
-            last = pdf["e"].iloc[-1]
-            rest, done = pdf[pdf["e"] == last], pdf[pdf["e"] != last]
-            for _, part in done.groupby("e"):
-                m = rows_of(part)
-                total += m.T @ m
-                n, groups = n + len(part), groups + 1
-        if rest is not None and len(rest):
-            m = rows_of(rest)
+        total, n, groups = np.zeros((width, width)), 0, 0
+        for part in whole_groups(batches, "e"):
+            m = rows_of(part)
             total += m.T @ m
-            n, groups = n + len(rest), groups + 1
+            n, groups = n + len(part), groups + 1
         i, j = np.nonzero(total)
         yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
         yield pd.DataFrame({"i": [-1, -1], "j": [0, 1], "v": [float(n), float(groups)]})
@@ -152,25 +159,13 @@ def fixed_effects(
     xx, xy = full[:-1, :-1], full[:-1, -1]
     bread = np.linalg.pinv(xx)
     beta = bread @ xy
-    coefs = beta
 
     def scores(batches):
-        rest = None
         out = np.zeros((width - 1, width - 1))
-
-        def add(part):
+        for part in whole_groups(batches, "e"):
             m = rows_of(part)
-            s = m[:, :-1].T @ (m[:, -1] - m[:, :-1] @ coefs)
-            return np.outer(s, s)
-
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf])
-            last = pdf["e"].iloc[-1]
-            rest, done = pdf[pdf["e"] == last], pdf[pdf["e"] != last]
-            for _, part in done.groupby("e"):
-                out += add(part)
-        if rest is not None and len(rest):
-            out += add(rest)
+            u = m[:, :-1].T @ (m[:, -1] - m[:, :-1] @ beta)
+            out += np.outer(u, u)
         i, j = np.nonzero(out)
         yield pd.DataFrame({"i": i, "j": j, "v": out[i, j]})
 
