@@ -53,14 +53,11 @@ def without_stop_words(tokens: Column | str, stop_words: list[str], parity: bool
 def ngrams(tokens: Column | str, low: int, high: int) -> Column:
     """All n-grams with ``low <= n <= high``, joined by a blank."""
     tokens = _col(tokens)
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)),
-            lambda i, n=n: F.array_join(F.slice(tokens, i.cast("int"), n), " "),
-        )
-        parts.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
+    parts = [tokens if n == 1 else _grams(tokens, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def _grams(tokens: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1))
+    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))

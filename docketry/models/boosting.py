@@ -32,6 +32,7 @@ class BoostedStumps(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadabl
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="treated", rounds=50, checkpointEvery=10):
         super().__init__()
+        self._setDefault(featuresCol="features", labelCol="treated", rounds=50, checkpointEvery=10)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
@@ -65,6 +66,7 @@ class StumpVote(Model, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, *, rounds=0):
         super().__init__()
+        self._setDefault(rounds=0)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

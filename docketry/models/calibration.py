@@ -32,6 +32,7 @@ class CalibratedLinearSvc(Estimator, _SvcParams, DefaultParamsReadable, DefaultP
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="treated", C=1.0, maxIter=50, folds=5, seed=42):
         super().__init__()
+        self._setDefault(featuresCol="features", labelCol="treated", C=1.0, maxIter=50, folds=5, seed=42)
         self._set(**self._input_kwargs)
 
     def _svc(self, n: int) -> LinearSVC:
@@ -86,6 +87,7 @@ class PlattModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, *, slope=1.0, intercept=0.0):
         super().__init__()
+        self._setDefault(slope=1.0, intercept=0.0)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

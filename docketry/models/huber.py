@@ -28,6 +28,7 @@ class ModifiedHuber(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadabl
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=25):
         super().__init__()
+        self._setDefault(featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=25)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ModifiedHuberModel:
@@ -85,6 +86,7 @@ class ModifiedHuberModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPa
     @keyword_only
     def __init__(self, *, featuresCol="features", weights=None, bias=0.0):
         super().__init__()
+        self._setDefault(featuresCol="features", bias=0.0)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

@@ -94,6 +94,8 @@ class NystroemMap(Estimator, _KernelParams, DefaultParamsReadable, DefaultParams
     def __init__(self, *, inputCol="features", outputCol="kernel_features", kernel="poly", degree=2, coef0=0.0,
                  gamma=0.0, landmarks=256, seed=42):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="kernel_features", kernel="poly", degree=2, coef0=0.0,
+                         gamma=0.0, landmarks=256, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> NystroemModel:

@@ -36,10 +36,10 @@ def cumulative_share(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return top.withColumn("cum_share", F.sum("share").over(w))  # n rows only
 
 
-def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
-    """Distinct non-null values, exact by default."""
-    agg = F.approx_count_distinct(column) if approximate else F.count_distinct(F.col(column))
-    return df.agg(agg.alias(f"distinct_{column}"))
+def distinct_count(df: DataFrame, *columns: str, approximate: bool = False) -> DataFrame:
+    """Distinct non-null values per column, exact by default."""
+    agg = F.approx_count_distinct if approximate else F.count_distinct
+    return df.agg(*[agg(F.col(c)).alias(f"distinct_{c}") for c in columns])
 
 
 def funnel(df: DataFrame, id_column: str, steps: Sequence[tuple[str, Column]]) -> DataFrame:

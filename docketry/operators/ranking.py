@@ -34,10 +34,10 @@ def with_block(df: DataFrame, column: str, blocks: int, name: str = "_block") ->
     return tagged.withColumn(name, F.col(name).cast("int"))
 
 
-def _tuple_cond(keys: Sequence[str], row: Row, strict: bool = False) -> Column:
-    left = F.struct(*[F.col(k) for k in keys])
-    right = F.struct(*[F.lit(row[k]) for k in keys])
-    return left < right if strict else left <= right
+def at_most(df: DataFrame, keys: Sequence[str], row: Row) -> Column:
+    """Key tuple of a row of ``df`` is not above ``row``."""
+    bound = [F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in keys]
+    return F.struct(*[F.col(k) for k in keys]) <= F.struct(*bound)
 
 
 def rank_threshold(
@@ -92,7 +92,7 @@ def smallest_n(
 ) -> DataFrame:
     """The n rows with the smallest key tuples. Keys must identify a row; no sort, no shuffle of ``df``."""
     bound = rank_threshold(df, keys, n, total, rows_per_block)
-    return df.filter(F.lit(False)) if bound is None else df.filter(_tuple_cond(keys, bound))
+    return df.filter(F.lit(False)) if bound is None else df.filter(at_most(df, keys, bound))
 
 
 def running_sums(

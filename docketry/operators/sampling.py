@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.operators.ranking import ROWS_PER_BLOCK, rank_threshold, smallest_n, _tuple_cond
+from docketry.operators.ranking import ROWS_PER_BLOCK, at_most, rank_threshold, smallest_n
 
 
 def weighted_without_replacement(
@@ -58,7 +58,7 @@ def stratified_split(
         n = math.ceil(fraction * size - 1e-9)
         bound = rank_threshold(keyed.filter(F.col(label) == value), ["_key", tie], n, size, rows_per_block)
         if bound is not None:
-            test = test | ((F.col(label) == value) & _tuple_cond(["_key", tie], bound))
+            test = test | ((F.col(label) == value) & at_most(keyed, ["_key", tie], bound))
     return keyed.withColumn("is_test", test.cast("int")).drop("_key")
 
 
@@ -122,8 +122,8 @@ def weighted_with_replacement(
         .join(F.broadcast(cuts), "_bucket")  # 65,536 rows at most
         .withColumn("_lo", F.least(F.floor(F.col("_begin") / F.col("_width") * F.col("_slices")), F.col("_slices") - 1))
         .withColumn("_hi", F.least(F.floor(F.col("_end") / F.col("_width") * F.col("_slices")), F.col("_slices") - 1))
-        .withColumn("_slice", F.explode(F.sequence(F.greatest(F.col("_lo"), F.lit(0)), F.col("_hi"))).cast("int"))
-        .select("_bucket", "_slice", F.col("_begin").alias("_pos"), "_id", F.lit(0).alias("_kind"))
+        .withColumn("_slice", F.explode(F.sequence(F.greatest(F.col("_lo"), F.lit(0)), F.col("_hi"))))
+        .select("_bucket", F.col("_slice").cast("int").alias("_slice"), F.col("_begin").alias("_pos"), "_id", F.lit(0).alias("_kind"))
     )
     inside = Window.partitionBy("_bucket", "_slice").orderBy("_pos", "_kind", "_id")
     hits = (

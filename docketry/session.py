@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -49,3 +50,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     import uuid
 
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the functions that run in Python workers."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="docketry-ship-"), "docketry.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("docketry", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)

@@ -1,0 +1,16 @@
+"""Spark's English stop words, read from its library file so that no session is needed."""
+
+import glob
+import os
+import zipfile
+
+import pyspark
+
+
+def _load() -> list[str]:
+    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
+    with zipfile.ZipFile(jar) as z:
+        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
+
+
+ENGLISH = [w.strip() for w in _load() if w.strip()]
