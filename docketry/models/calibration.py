@@ -12,6 +12,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.models.threads import side_by_side
+
 
 def fold_of(df: DataFrame, folds: int, seed: int):
     """Fold number from row content, so it does not depend on partitioning."""
@@ -38,7 +40,7 @@ class CalibratedLinearSvc(Estimator, _SvcParams, DefaultParamsReadable, DefaultP
     def _svc(self, n: int) -> LinearSVC:
         return LinearSVC(
             featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(), standardization=False,
-            regParam=1.0 / (self.getOrDefault(self.C) * max(n, 1)), maxIter=self.getOrDefault(self.maxIter),
+            regParam=1.0 / (self.getOrDefault(self.C) * max(n, 1)), maxIter=self.getOrDefault(self.maxIter), tol=1e-3,
         )
 
     def _fit(self, dataset: DataFrame) -> PlattModel:
@@ -51,27 +53,32 @@ class CalibratedLinearSvc(Estimator, _SvcParams, DefaultParamsReadable, DefaultP
             sizes = {(r["_fold"], r[label]): r["n"] for r in
                      data.groupBy("_fold", label).agg(F.count(F.lit(1)).alias("n")).collect()}
             n = sum(sizes.values())
-            svc = self._svc(n).fit(data)
+            inside = {k: sum(c for (f, _), c in sizes.items() if f != k) for k in range(folds if folds > 1 else 0)}
+            usable = [
+                k for k, c in inside.items() if c < n and len({y for (f, y) in sizes if f != k}) == 2
+            ]
+
+            def fit(k):
+                """Fold k left out; None fits on all rows."""
+                if k is None:
+                    return self._svc(n).fit(data)
+                return self._svc(inside[k]).fit(data.filter(F.col("_fold") != k))
+
+            svc, *left_out = side_by_side(dataset.sparkSession, fit, [None, *usable])
             slope, intercept = 1.0, 0.0
-            if folds > 1:
-                parts = []
-                for k in range(folds):
-                    inside = sum(c for (f, _), c in sizes.items() if f != k)
-                    both = {y for (f, y), c in sizes.items() if f != k and c}
-                    if len(both) < 2 or inside == n:
-                        continue
-                    fitted = self._svc(inside).fit(data.filter(F.col("_fold") != k))
-                    held = fitted.transform(data.filter(F.col("_fold") == k))
-                    parts.append(held.select(
+            if usable:
+                parts = [
+                    m.transform(data.filter(F.col("_fold") == k)).select(
                         F.array(vector_to_array("rawPrediction")[1]).alias("m"), F.col(label)
-                    ))
-                if parts:
-                    margins = parts[0]
-                    for part in parts[1:]:
-                        margins = margins.union(part)
-                    platt = LogisticRegression(featuresCol="mv", labelCol=label, regParam=0.0, standardization=False)
-                    fitted = platt.fit(margins.select(array_to_vector("m").alias("mv"), label))
-                    slope, intercept = float(fitted.coefficients[0]), float(fitted.intercept)
+                    )
+                    for k, m in zip(usable, left_out)
+                ]
+                margins = parts[0]
+                for part in parts[1:]:
+                    margins = margins.union(part)
+                platt = LogisticRegression(featuresCol="mv", labelCol=label, regParam=0.0, standardization=False)
+                fitted = platt.fit(margins.select(array_to_vector("m").alias("mv"), label))
+                slope, intercept = float(fitted.coefficients[0]), float(fitted.intercept)
         finally:
             data.unpersist()
         calibrate = PlattModel(slope=slope, intercept=intercept)

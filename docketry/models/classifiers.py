@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from docketry.models.boosting import BoostedStumps
 from docketry.models.calibration import CalibratedLinearSvc
 from docketry.models.features import PriorShift, doc_vector_stages, tfidf_stages
+from docketry.models.fitting import fit_in_order
 from docketry.models.huber import ModifiedHuber
 from docketry.models.kernel import NystroemMap
+from docketry.models.threads import side_by_side
 from docketry.operators import evaluation as ev
 
 LABEL = "treated"
@@ -88,7 +90,8 @@ def fit_classifier(
 ) -> PipelineModel:
     """Fit text features and a classifier on (claim_text, treated)."""
     make = {"tfidf": tfidf_stages, "doc_vectors": doc_vector_stages}[features]
-    return Pipeline(stages=[*make(**(feature_args or {})), *stages_for(name, train.count(), **kwargs)]).fit(train)
+    n = train.count()
+    return fit_in_order([*make(**(feature_args or {})), *stages_for(name, n, **kwargs)], train)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -114,17 +117,18 @@ def compare_models(
 ) -> DataFrame:
     """One row of scores per classifier. Features are fitted and computed once for all of them."""
     names = names or list(REGISTRY)
-    vectors = Pipeline(stages=tfidf_stages(**(feature_args or {}))).fit(train)
+    vectors = fit_in_order(tfidf_stages(**(feature_args or {})), train)
     fit_on = vectors.transform(train).select("features", LABEL).persist()
     held = vectors.transform(test).select("features", LABEL).persist()
-    rows = []
     n = fit_on.count()
+
+    def one_row(name: str) -> tuple:
+        model = fit_in_order(stages_for(name, n, **(model_args or {}).get(name, {})), fit_on)
+        counts = ev.confusion_counts(model.transform(held), LABEL, "prediction")
+        return (name, *ev.scores(counts).first())  # five scores
+
     try:
-        for name in names:
-            args = (model_args or {}).get(name, {})
-            model = Pipeline(stages=stages_for(name, n, **args)).fit(fit_on)
-            counts = ev.confusion_counts(model.transform(held), LABEL, "prediction")
-            rows.append((name, *ev.scores(counts).first()))  # five scores
+        rows = side_by_side(train.sparkSession, one_row, names, threads=4)
     finally:
         fit_on.unpersist()
         held.unpersist()
