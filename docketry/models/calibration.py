@@ -32,9 +32,9 @@ class CalibratedLinearSvc(Estimator, _SvcParams, DefaultParamsReadable, DefaultP
     """Linear margin classifier; label from the margin's sign, probability from calibration."""
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="treated", C=1.0, maxIter=50, folds=5, seed=42):
+    def __init__(self, *, featuresCol="features", labelCol="treated", C=1.0, maxIter=30, folds=5, seed=42):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="treated", C=1.0, maxIter=50, folds=5, seed=42)
+        self._setDefault(featuresCol="features", labelCol="treated", C=1.0, maxIter=30, folds=5, seed=42)
         self._set(**self._input_kwargs)
 
     def _svc(self, n: int) -> LinearSVC:

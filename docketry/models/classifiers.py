@@ -60,7 +60,8 @@ def kernel_svc(kernel: str, n_landmarks: int = 256, **kwargs) -> list:
 # Name -> (number of training rows) -> stages. With n rows, C maps to regParam 1 / (C n).
 REGISTRY: dict[str, Callable[..., list]] = {
     "logistic_regression": lambda n, C=1.0: [LogisticRegression(
-        featuresCol="features", labelCol=LABEL, regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False)],
+        featuresCol="features", labelCol=LABEL, regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
+        tol=1e-4)],
     "naive_bayes": lambda n: [MultinomialBayes()],
     "svc_rbf": lambda n, **kw: kernel_svc("rbf", **kw),
     "svc_poly2": lambda n, **kw: kernel_svc("poly", degree=2, **kw),

@@ -45,6 +45,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a file scan of few splits out to all cores; a scan with splits enough is left alone.
+
+    Small files often hold one row group, which one task would read, tokenize
+    and stem alone. Only such small input is shuffled here.
+    """
+    spark = scan.sparkSession
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for written tables."""
     import uuid

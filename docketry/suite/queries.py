@@ -12,6 +12,7 @@ from docketry.functions import tokens as tk
 from docketry.models import classifiers as mc
 from docketry.models import neighbours as nb
 from docketry.models.features import tfidf_stages
+from docketry.models.fitting import fit_in_order
 from docketry.models.search import random_search
 from docketry.operators import counting as ct
 from docketry.operators import evaluation as ev
@@ -671,10 +672,8 @@ def naive_bayes_scores(v: Views) -> DataFrame:
 
 @query
 def knn_vote(v: Views) -> DataFrame:
-    from pyspark.ml import Pipeline
-
     parts = sp.stratified_split(v.training(), "treated", cl.uniform_from_key("app_id"), "app_id")
-    vectors = Pipeline(stages=tfidf_stages(**WORDS)).fit(parts)
+    vectors = fit_in_order(tfidf_stages(**WORDS), parts)
     data = vectors.transform(parts)
     near = nb.nearest(data.filter("is_test = 0"), data.filter("is_test = 1"), "app_id", "treated", k=5)
     return nb.vote(near, "app_id").select("app_id", r6("p1", "p1"), "predicted_label")
