@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import wraps
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import stored
+
 TERMS = ["Intercept", "Treated", "Post", "Treated:Post"]
 MAX_PERIODS = 2_000
 COEFFICIENTS = "model string, term string, coef double, std_err double, z double, p_value double"
 STATISTICS = "model string, statistic string, value double"
 
 
+def over_stored_panel(fit):
+    """The fits read the panel in several jobs; it is built once."""
+
+    @wraps(fit)
+    def run(panel: DataFrame, *args, **kwargs):
+        with stored(panel) as kept:
+            return fit(kept, *args, **kwargs)
+
+    return run
+
+
 def design() -> list[Column]:
     t, p = F.col("Treated").cast("double"), F.col("Post").cast("double")
     return [F.lit(1.0), t, p, t * p]
@@ -74,6 +88,7 @@ def _fitted(xs: Sequence[Column], beta) -> Column:
     return out
 
 
+@over_stored_panel
 def did_ols(panel: DataFrame, cluster: str = "group_id") -> tuple[DataFrame, DataFrame]:
     """log_Count ~ Treated * Post, errors clustered by group."""
     xs, y = design(), F.col("log_Count")
@@ -105,6 +120,7 @@ def whole_groups(batches, key: str):
         yield rest
 
 
+@over_stored_panel
 def fixed_effects(
     panel: DataFrame, entity: str = "group_id", time: str = "quarter_issue_date_dt"
 ) -> tuple[DataFrame, DataFrame]:
@@ -228,6 +244,7 @@ def _saturated(panel: DataFrame, model: str, information) -> tuple[np.ndarray, n
     return beta, np.linalg.inv(info), cells
 
 
+@over_stored_panel
 def poisson(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Count ~ Treated * Post with log link. Four cells, four coefficients: cell means solve it exactly."""
     beta, cov, cells = _saturated(panel, "poisson", lambda m: m)
@@ -285,6 +302,7 @@ def _best_alpha(histogram: DataFrame, mu: Column) -> tuple[float, float]:
     return best, lls[best]
 
 
+@over_stored_panel
 def negative_binomial(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """NB2 with estimated dispersion: variance mu + alpha * mu^2.
 

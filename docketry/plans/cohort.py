@@ -87,15 +87,19 @@ def control_cohorts(
     """Both control cohorts for a set of rejections.
 
     Controls share filing years and main classes with rejected applications.
-    The anti joins compare with distinct action keys, a third of all actions on
-    one application costs one key.
+    Rejections are counted per application before the join and the anti joins
+    compare with distinct action keys, so a third of all records on one
+    application costs one key.
     """
     apps = with_application_keys(applications)
-    rejected = apps.join(
-        rejections.select(cl.to_int_id("app_id").alias("app_id")).filter(F.col("app_id").isNotNull()), "app_id"
-    ).select("filing_date_dt", "uspc_class_str")
-    years = ct.distinct_keys(rejected.select(F.year("filing_date_dt").alias("filing_year")), "filing_year")
-    main = ct.top_classes(rejected, "uspc_class_str", n_classes).select("uspc_class_str")
+    per_app = ct.value_counts(rejections.select(cl.to_int_id("app_id").alias("app_id")), "app_id")
+    rejected = apps.join(per_app, "app_id").select(F.year("filing_date_dt").alias("filing_year"), "uspc_class_str", "count")
+    years = ct.distinct_keys(rejected, "filing_year")
+    main = (
+        rejected.filter(F.col("uspc_class_str").isNotNull())
+        .groupBy("uspc_class_str").agg(F.sum("count").alias("count"))
+        .orderBy(F.desc("count"), F.asc("uspc_class_str")).limit(n_classes).select("uspc_class_str")
+    )
 
     actions = office_actions.select(cl.to_int_id("app_id").alias("app_id"), "rejection_101")
     with_action = ct.distinct_keys(actions, "app_id")

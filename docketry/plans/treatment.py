@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import claims as cl
 from docketry.operators import panel as pn
 from docketry.operators import regression as rg
+from docketry.session import stored
 
 
 def patent_dates(patents: DataFrame) -> DataFrame:
@@ -57,9 +58,6 @@ def did_panel(treatment: DataFrame, decision: dt.date = cl.DECISION_DATE) -> Dat
 
 def did_models(panel: DataFrame) -> DataFrame:
     """All four models as one long table."""
-    panel = panel.cache()
-    try:
-        fits = [rg.did_ols(panel), rg.fixed_effects(panel), rg.poisson(panel), rg.negative_binomial(panel)]
-    finally:
-        panel.unpersist()
+    with stored(panel) as kept:
+        fits = [rg.did_ols(kept), rg.fixed_effects(kept), rg.poisson(kept), rg.negative_binomial(kept)]
     return rg.regression_table(*fits)
