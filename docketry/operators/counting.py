@@ -48,11 +48,15 @@ def funnel(df: DataFrame, id_column: str, steps: Sequence[tuple[str, Column]]) -
     The per-id counts are summed map-side first, so one id with many rows
     costs no more than the others.
     """
+    # Each condition is evaluated once; the running AND works on the results.
+    tested = df.select(
+        F.col(id_column).alias("_id"), *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, (_, c) in enumerate(steps)]
+    )
     alive, passed = F.lit(True), []
-    for _, cond in steps:
-        alive = alive & F.coalesce(cond, F.lit(False))
-        passed.append(alive)
-    flags = df.select(F.col(id_column).alias("_id"), *[c.cast("long").alias(f"s{i}") for i, c in enumerate(passed)])
+    for i in range(len(steps)):
+        alive = alive & F.col(f"c{i}")
+        passed.append(alive.cast("long").alias(f"s{i}"))
+    flags = tested.select("_id", *passed)
     per_id = flags.groupBy("_id").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(steps))])
     known = F.col("_id").isNotNull()
     totals = per_id.agg(

@@ -465,3 +465,20 @@ sql("report_round_trip", "predictions", C4 + """
     SELECT 'valid' AS outcome, round(p0, 3) AS "Precision", round(r0, 3) AS "Recall", round(f0, 3) AS "F1",
            round(s0, 3) AS "Support" FROM s
     UNION ALL SELECT 'invalid', round(p1, 3), round(r1, 3), round(f1, 3), round(s1, 3) FROM s""")
+sql("pregrant_claims_tsv_round_trip", "pregrant_claims", "SELECT * FROM pregrant_claims")
+sql("office_actions_csv_round_trip", "office_actions", "SELECT * FROM office_actions")
+sql("rejections_csv_round_trip", "rejections", "SELECT * FROM rejections")
+sql("publications_tsv_round_trip", "publications", "SELECT * FROM publications")
+sql("cpc_tsv_round_trip", "cpc", "SELECT * FROM cpc")
+sql("uspc_tsv_round_trip", "uspc", "SELECT * FROM uspc")
+sql("uspc_pregrant_tsv_round_trip", "uspc_pregrant",
+    "SELECT pgpub_id AS document_number, uspc_mainclass_id FROM uspc_pregrant")
+sql("cpc_pregrant_tsv_round_trip", "cpc_pregrant", """
+    SELECT pgpub_id AS document_number, cpc_type, cpc_version_indicator, cpc_subclass FROM cpc_pregrant""")
+sql("patents_tsv_round_trip", "patents", "SELECT * FROM patents")
+sql("extracts_by_partition", "independent_issued", "SELECT claim_text, year FROM independent_issued")
+sql("analysis_tables", "panel", """
+    SELECT group_id, quarter_issue_date_dt, "Treated", "Count", "Post" FROM panel""")
+sql("unknown_numbers_null_safe", "apps", """
+    SELECT patent_num, count(*) AS "count", count(*) FILTER (status = 150) AS granted
+    FROM apps GROUP BY 1 HAVING count(*) FILTER (status = 150) > 0""")

@@ -22,7 +22,7 @@ from docketry.operators import ranking as rk
 from docketry.operators import regression as rg
 from docketry.operators import sampling as sp
 from docketry.operators import terms as tm
-from docketry.operators.joins import anti, semi
+from docketry.operators.joins import anti, null_safe_join, semi
 from docketry.plans import affected as af
 from docketry.plans import cohort as co
 from docketry.plans import scoring as sc
@@ -887,3 +887,96 @@ def orphan_claims(v: Views) -> DataFrame:
     """Claims of documents that are no granted patent."""
     keyed = v.claims().select(cl.to_int_id("patent_id").alias("patent_id"), "claim_sequence")
     return anti(keyed, granted_ids(v), "patent_id")
+
+
+def csv_round_trip(v: Views, df: DataFrame, read, sep: str) -> DataFrame:
+    path = scratch_path(v.spark, "raw")
+    (writers.write_tsv if sep == "\t" else writers.write_csv)(df, path)
+    return read(v.spark, path)
+
+
+@query
+def pregrant_claims_tsv_round_trip(v: Views) -> DataFrame:
+    raw = v.pregrant_claims().withColumnRenamed("document_number", "pgpub_id")
+    return csv_round_trip(v, raw, readers.read_pregrant_claims, "\t").drop("claim_number")
+
+
+@query
+def office_actions_csv_round_trip(v: Views) -> DataFrame:
+    out = csv_round_trip(v, v.office_actions(), readers.read_office_actions, ",")
+    return out.select(*v.office_actions().columns)
+
+
+@query
+def rejections_csv_round_trip(v: Views) -> DataFrame:
+    return csv_round_trip(v, v.rejections(), readers.read_rejections, ",")
+
+
+@query
+def publications_tsv_round_trip(v: Views) -> DataFrame:
+    return csv_round_trip(v, v.publications_raw(), readers.read_publications, "\t")
+
+
+@query
+def cpc_tsv_round_trip(v: Views) -> DataFrame:
+    return csv_round_trip(v, v.cpc(), readers.read_cpc, "\t").select(*v.cpc().columns)
+
+
+@query
+def uspc_tsv_round_trip(v: Views) -> DataFrame:
+    return csv_round_trip(v, v.uspc(), readers.read_uspc, "\t").select("patent_id", "mainclass_id")
+
+
+@query
+def uspc_pregrant_tsv_round_trip(v: Views) -> DataFrame:
+    out = csv_round_trip(v, v.uspc_pregrant(), readers.read_uspc_pregrant, "\t")
+    return out.select("document_number", "uspc_mainclass_id")
+
+
+@query
+def cpc_pregrant_tsv_round_trip(v: Views) -> DataFrame:
+    return csv_round_trip(v, v.cpc_pregrant(), readers.read_cpc_pregrant, "\t").drop("cpc_group")
+
+
+@query
+def patents_tsv_round_trip(v: Views) -> DataFrame:
+    return csv_round_trip(v, v.patents(), readers.read_patents, "\t").drop("patent_type")
+
+
+@query
+def extracts_by_partition(v: Views) -> DataFrame:
+    """Extracts of both origins written by partition; one role and origin read back."""
+    path = scratch_path(v.spark, "extracts")
+    issued = co.independent_claims(v.claims(), "issued").select(
+        "claim_text", "year", F.lit("main").alias("cohort"), F.lit("control").alias("role"), F.lit("issued").alias("origin"))
+    pregrant = app_claims(v).select(
+        "claim_text", F.col("filing_year_PregrantApp").alias("year"), F.lit("main").alias("cohort"),
+        F.lit("treated").alias("role"), F.lit("pregrant").alias("origin"))
+    writers.write_extracts(ct.union_rows(issued, pregrant), path)
+    return readers.read_extracts(v.spark, path, "main", "control", "issued").select("claim_text", "year")
+
+
+@query
+def analysis_tables(v: Views) -> DataFrame:
+    """Panel written as the sample table and read back with the columns in use."""
+    path = scratch_path(v.spark, "panel")
+    panel(v).write.mode("overwrite").parquet(path)
+    return v.spark.read.parquet(path).select("group_id", "quarter_issue_date_dt", "Treated", "Count", "Post")
+
+
+@query
+def custom_tokenizer_counts(v: Views) -> DataFrame:
+    """Stemmed words over two characters, stop words and their stems dropped."""
+    from docketry.models.features import token_column
+
+    return tm.term_counts(v.training(), token_column("custom", F.col("claim_text")), "treated")
+
+
+@query
+def unknown_numbers_null_safe(v: Views) -> DataFrame:
+    """Applications without utility number matched to each other by null-safe join, counted per side."""
+    apps = co.with_application_keys(v.applications())
+    left = ct.value_counts(apps, "patent_num")
+    right = ct.value_counts(apps.filter(F.col("status") == cl.PATENTED_STATUS_CODE), "patent_num").withColumnRenamed(
+        "count", "granted")
+    return null_safe_join(left, right, "patent_num").select("patent_num", "count", "granted")
