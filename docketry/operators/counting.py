@@ -13,9 +13,8 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, *columns: str) -> DataFrame:
-    """Counts with their share of all rows; the total is a scalar subquery."""
-    counts = value_counts(df, *columns)
-    return counts.withColumn("share", F.col("count") / df.select(F.count(F.lit(1))).scalar())
+    """Counts with their share of all rows; the total is a scalar subquery over the counts."""
+    return relative_frequencies(value_counts(df, *columns), "count", "share")
 
 
 def relative_frequencies(cells: DataFrame, count: str = "count", name: str = "relative_freq") -> DataFrame:

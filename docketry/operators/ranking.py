@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1_000_000
+ROWS_TO_RANK = 100_000  # candidates left for the closing top-k, whose heap ends at the driver
 MAX_BLOCKS = 4096
 
 
@@ -41,7 +42,7 @@ def at_most(df: DataFrame, keys: Sequence[str], row: Row) -> Column:
 
 
 def rank_threshold(
-    df: DataFrame, keys: Sequence[str], n: int, total: int | None = None, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, keys: Sequence[str], n: int, total: int | None = None, rows_per_block: int = ROWS_TO_RANK
 ) -> Row | None:
     """The n-th smallest key tuple (1-based) of ``df``; keys are numeric, first key leads.
 
@@ -88,7 +89,7 @@ def rank_threshold(
 
 
 def smallest_n(
-    df: DataFrame, keys: Sequence[str], n: int, total: int | None = None, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, keys: Sequence[str], n: int, total: int | None = None, rows_per_block: int = ROWS_TO_RANK
 ) -> DataFrame:
     """The n rows with the smallest key tuples. Keys must identify a row; no sort, no shuffle of ``df``."""
     bound = rank_threshold(df, keys, n, total, rows_per_block)

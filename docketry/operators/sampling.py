@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.operators.ranking import ROWS_PER_BLOCK, at_most, rank_threshold, smallest_n
+from docketry.operators.ranking import ROWS_TO_RANK, at_most, rank_threshold, smallest_n
 
 
 def weighted_without_replacement(
-    df: DataFrame, n: int, weight: str, u: Column, tie: str, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, n: int, weight: str, u: Column, tie: str, rows_per_block: int = ROWS_TO_RANK
 ) -> DataFrame:
     """Draw n rows with chance proportional to weight (Efraimidis and Spirakis, 2006).
 
@@ -24,7 +24,7 @@ def weighted_without_replacement(
     return smallest_n(keyed, ["_key", tie], n, rows_per_block=rows_per_block).drop("_key")
 
 
-def uniform_sample(df: DataFrame, n: int, u: Column, tie: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def uniform_sample(df: DataFrame, n: int, u: Column, tie: str, rows_per_block: int = ROWS_TO_RANK) -> DataFrame:
     """n rows by smallest u, or all rows when there are no more than n."""
     keyed = df.withColumn("_key", u)
     total = keyed.count()
@@ -40,7 +40,7 @@ def stratified_split(
     tie: str,
     fraction: float = 0.15,
     labels: Sequence[int] = (0, 1),
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_TO_RANK,
 ) -> DataFrame:
     """Add ``is_test``: per label, the ceil(fraction * n) rows of smallest u.
 

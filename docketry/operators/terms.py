@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.porter import stem_word
 from docketry.functions.tokens import word_tokens
+from docketry.session import materialize
 
 
 def explode_terms(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
@@ -46,8 +47,8 @@ def tfidf(
 ) -> DataFrame:
     """Smooth TF-IDF with unit rows: tf * (ln((1 + n) / (1 + df)) + 1), L2 per document.
 
-    Each row counts its own terms, so the only shuffles are the document
-    frequencies and the term join.
+    The length of a row is a window over the terms of one document, which is
+    bounded by its text. ``key`` identifies a document.
     """
     n_docs = df.count()
     vocabulary = bounded_vocabulary(document_frequency(df, tokens), n_docs, min_df, max_df)
@@ -57,8 +58,8 @@ def tfidf(
         idf = F.lit(1.0)
     counts = term_counts(df, tokens, key)
     raw = counts.join(vocabulary.select("term", idf.alias("idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", "tf", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "tf", (F.col("w") / norm).alias("weight"))
 
 
 def differential_terms(df: DataFrame, label: str, text: str, stop_words: list[str]) -> DataFrame:
@@ -68,10 +69,11 @@ def differential_terms(df: DataFrame, label: str, text: str, stop_words: list[st
     treated and a control side, each scaled to unit length again.
     """
     counts = term_counts(df.select(label, text), word_tokens(text), label).filter(~F.col("term").isin(stop_words))
-    both = counts.groupBy("term").agg(
+    # Written once: the lengths below read the counts again, not the texts.
+    both = materialize(counts.groupBy("term").agg(
         F.sum(F.when(F.col(label) == 1, F.col("tf")).otherwise(0)).alias("treated_count"),
         F.sum(F.when(F.col(label) == 0, F.col("tf")).otherwise(0)).alias("control_count"),
-    )
+    ))
 
     def square_sum(c: Column) -> Column:
         return F.sqrt(F.sum(c * c))
