@@ -739,8 +739,7 @@ def doc_vector_scores(v: Views) -> DataFrame:
 @query
 def model_comparison(v: Views) -> DataFrame:
     train, test = split(v)
-    names = ["logistic_regression", "naive_bayes", "svc_poly2", "svc_linear", "decision_tree", "sgd_hinge"]
-    return mc.compare_models(train, test, names, model_args=QUICK)
+    return mc.compare_models(train, test, model_args=QUICK)
 
 
 @query

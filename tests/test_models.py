@@ -58,7 +58,7 @@ def test_tfidf_equals_formula(corpus):
 @pytest.mark.parametrize("name, args", [
     ("logistic_regression", {}), ("naive_bayes", {}), ("svc_linear", {}), ("svc_poly2", {"n_landmarks": 100}),
     ("svc_rbf", {"n_landmarks": 100}), ("decision_tree", {"depth": 6}), ("random_forest", {"trees": 20, "depth": 6}),
-    ("sgd_hinge", {}), ("sgd_modified_huber", {"steps": 20}), ("adaboost", {"rounds": 12}),
+    ("sgd_hinge", {}), ("sgd_modified_huber", {"steps": 20}), ("adaboost", {"rounds": 6}),
     ("gradient_boosting", {"rounds": 6}),
 ])
 def test_classifier_learns_and_survives_saving(corpus, tmp_path, name, args):
