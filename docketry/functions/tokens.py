@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docketry.functions.stop_words import ENGLISH
+
 # What counts as a word for term tables, and the default text
 # clean-up in its order (tags, punctuation, blanks, digits).
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -20,7 +21,7 @@ def _col(c: Column | str) -> Column:
 
 
 def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return list(ENGLISH)
 
 
 def word_tokens(text: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from docketry.functions.stop_words import ENGLISH
 from docketry.suite.view_sql import with_views
 
 ORACLE: dict[str, str] = {}
@@ -13,8 +13,6 @@ def sql(name: str, views: str, body: str) -> None:
 
 
 def _stop_list() -> str:
-    from docketry.suite.stop_words import ENGLISH
-
     return ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 
 
