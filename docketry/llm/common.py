@@ -41,7 +41,7 @@ def word_count(text: Column | str) -> Column:
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the frame's bytes; files give it without a job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
