@@ -32,35 +32,46 @@ def _anchor_pattern() -> str:
     return f" (?=(?:{'|'.join(groups)}) )"
 
 
-def signatures(text: Column | str) -> Column:
-    """The set of a text's spot signatures as a sorted array of 32-bit hashes; empty for a text without words.
-
-    A signature is a common word and the CHAIN content words that follow it,
-    reaching over one more common word where needed. A stretch of STRETCH
-    content words without a common word starts a chain of its own, so texts
-    without common words (tables, lists) have signatures too. Case and
-    punctuation do not count.
-    """
+def pieces(text: Column | str) -> Column:
+    """A text as pieces: ``~`` and a common word, or neither, and the content words up to the next piece."""
     text = F.col(text) if isinstance(text, str) else text
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(plain), F.lit(" ")), _anchor_pattern(), " ~")
     content = "[^ ~][^ ]*"
-    pieces = F.regexp_extract_all(
-        marked, F.lit(f"~[^ ]+(?: {content}){{0,{STRETCH}}}|{content}(?: {content}){{0,{STRETCH - 1}}}"), F.lit(0))
-    following = F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
+    stretch = f"~[^ ]+(?: {content}){{0,{STRETCH}}}|{content}(?: {content}){{0,{STRETCH - 1}}}"
+    return F.regexp_extract_all(marked, F.lit(stretch), F.lit(0))
+
+
+def chains(cut: str) -> Column:
+    """The signatures of a column of pieces as a sorted array of 32-bit hashes."""
+    following = F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1)))
 
     def chain(piece: Column, after: Column) -> Column:
-        words = F.concat_ws(" ", piece, F.regexp_replace(after, "^~[^ ]+ ?", ""))
+        words = F.rtrim(F.concat_ws(" ", piece, F.regexp_replace(after, "^~[^ ]+ ?", "")))
         head = F.when(piece.startswith("~"), F.substring_index(words, " ", CHAIN + 1)).otherwise(
             F.substring_index(words, " ", CHAIN))
         return F.when(piece.isNotNull(), F.hash(head))
 
-    return F.array_sort(F.array_distinct(F.filter(F.zip_with(pieces, following, chain), lambda h: h.isNotNull())))
+    return F.array_sort(F.array_distinct(F.filter(F.zip_with(cut, following, chain), lambda h: h.isNotNull())))
+
+
+def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the set of a text's spot signatures; empty for a text without words.
+
+    A signature is a common word and the CHAIN content words that follow it,
+    reaching over one more common word where needed. A stretch of STRETCH
+    content words without a common word starts a chain of its own, so texts
+    without common words (tables, lists) have signatures too. Case and
+    punctuation do not count. The pieces are a column of their own, so that
+    the text is cut once.
+    """
+    cut = f"__{out}"
+    return df.withColumn(cut, pieces(text)).withColumn(out, chains(cut)).drop(cut)
 
 
 def fingerprint(sigs: Column | str) -> Column:
-    """Eight hex digits for each signature, in order."""
-    return F.array_join(F.transform(sigs, lambda h: F.lower(F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    """The sorted signatures as text."""
+    return F.array_join((F.col(sigs) if isinstance(sigs, str) else sigs).cast("array<string>"), " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -109,15 +120,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"))
     order = landed(_neighbours(rows.select("id", F.length("text").alias("n"))), "order")
-    ahead = rows.join(order, "id").select(
-        "id", F.col("prev"), F.expr("substring(text, 1, CAST(floor(prev_n / 4) AS INT))").alias("head"),
-        signatures("text").alias("next_sigs")).dropDuplicates(["id"]).drop("id").withColumnRenamed("prev", "id")
+    ahead = rows.join(order, "id").dropDuplicates(["id"]).select(
+        "prev", "text", F.expr("substring(text, 1, CAST(floor(prev_n / 4) AS INT))").alias("head"))
+    ahead = with_signatures(ahead, "text", "next_sigs").select(F.col("prev").alias("id"), "head", "next_sigs")
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 4) AS INT))"), F.col("head"))
-    both = rows.join(ahead, "id").select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sigs",
-                                         signatures("text").alias("sigs"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "next_sigs",
-                       signatures("edited").alias("edited_sigs"))
+    both = with_signatures(rows.join(ahead, "id"), "text", "sigs").select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sigs", "sigs")
+    both = with_signatures(both, "edited", "edited_sigs").withColumn("edited_sha256", F.sha2("edited", 256))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint("sigs").alias("fingerprint"),
         fingerprint("edited_sigs").alias("edited_fingerprint"),
@@ -136,7 +146,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     partition; the length bound prunes again before the exact Jaccard. Sets
     without signatures form one class and pair with none.
     """
-    rows = view(docs, doc_id=id_col, text=text_col).select("doc_id", signatures("text").alias("sigs"))
+    rows = with_signatures(view(docs, doc_id=id_col, text=text_col), "text", "sigs").select("doc_id", "sigs")
     rows = landed(rows.withColumn("set", F.sha2(fingerprint("sigs"), 256)), "signatures")
     sets = landed(rows.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "sets")
     members = rows.join(sets.select("set", "class_id"), "set").select("doc_id", "class_id")
