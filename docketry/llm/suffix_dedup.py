@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,7 +148,15 @@ def _earlier(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank
 
 
-RUN = "part long, ids binary, at binary, room binary, common binary, tails binary"
+RUN = "part long, ids binary, at binary, room binary, common binary, tails binary"  # blobs are zstd frames
+
+
+def packed(blob: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(blob) if blob else b""
+
+
+def unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob) if blob else b""
 
 
 def _runs(parts: int):
@@ -181,7 +190,7 @@ def _runs(parts: int):
 
             def add(p, **values):
                 for name in out:
-                    out[name].append(p if name == "part" else values[name])
+                    out[name].append(p if name == "part" else packed(values[name]))
 
             if done.any():  # spans travel along: ids and bounds, no suffix
                 p = int((ids.sum() + at.sum()) % parts)
@@ -324,6 +333,7 @@ def _merge_part(part: pa.Table) -> pa.Table:
     """Spans of one part: those its runs brought along, and those found in its merged suffixes."""
     ids, starts, ends, runs = [], [], [], []
     for r in part.to_pylist():
+        r = {k: v if k == "part" else unpacked(v) for k, v in r.items()}
         if r["common"]:
             runs.append(r)
         else:
@@ -395,11 +405,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(raw))
             removed.append(len(raw) - len(kept))
             runs.append(len(gone))
-        own = [b.column(i) for i in range(b.num_columns - 3)]
+        own = [b.column(i) for i in range(b.num_columns - 2)]
         yield pa.RecordBatch.from_arrays(
             own + [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                    pa.array(runs, pa.int64()), pa.array(digests, pa.string())],
-            names=[*b.schema.names[:b.num_columns - 3], "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            names=[*b.schema.names[:b.num_columns - 2], "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(rows: DataFrame, parts: int) -> DataFrame:
@@ -407,7 +417,8 @@ def repeated_spans(rows: DataFrame, parts: int) -> DataFrame:
     found = rows.mapInArrow(_anchor_rows, "key long, id long, at int, n byte")
     seen = F.sum("n").over(Window.partitionBy("key"))
     again = found.withColumn("seen", seen).filter("seen > 1").groupBy("id").agg(F.collect_list("at").alias("starts"))
-    runs = rows.join(again, "id").select("id", "text", "starts").mapInArrow(_runs(parts), RUN)
+    # all columns go along: this exchange of the texts is then the very one that remove_repeats joins once more
+    runs = rows.join(again, "id").mapInArrow(_runs(parts), RUN)
     return runs.groupBy("part").applyInArrow(_merge_part, "id long, span long")
 
 
@@ -424,13 +435,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     begin(docs)
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    rows = docs.select(own.alias("id"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                       *[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(own.alias("id"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in keep],
+                       F.col(f"`{text_col}`").alias("text"))
     spans = repeated_spans(rows, parts_for(docs, PART_BYTES)).groupBy("id").agg(F.collect_set("span").alias("spans"))
-    joined = rows.join(spans, "id", "left").select("doc_id", *[f"k_{c}" for c in keep], "id", "text", "spans")
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", *[f"`k_{c}` {kinds[f'k_{c}']}" for c in keep]])
+    joined = rows.join(spans, "id", "left").select("id", *[f"k_{c}" for c in keep], "text", "spans")
+    schema = ", ".join(["id long", *[f"`{c}` {kind}" for c, kind in rows.dtypes if c.startswith("k_")]])
     out = joined.mapInArrow(_cut, schema + ", kept_text string, n_bytes long, n_removed long, n_spans long,"
                                            " kept_sha256 string")
+    out = out.withColumn("doc_id", F.nullif("id", F.lit(NO_ID)))
     return out.select("doc_id", *[F.col(f"`k_{c}`").alias(c) for c in keep], "kept_text", "n_bytes", "n_removed",
                       "n_spans", "kept_sha256")
