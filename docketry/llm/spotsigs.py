@@ -116,9 +116,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is looked for, and all stay; one document is its own next; an empty table
     gives an empty result.
     """
+    # both joins below read these very columns by id, so that the texts are exchanged once
     rows = view(docs, doc_id=id_col, text=text_col).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     order = landed(_neighbours(rows.select("id", F.length("text").alias("n"))), "order")
     ahead = rows.join(order, "id").dropDuplicates(["id"]).select(
         "prev", "text", F.expr("substring(text, 1, CAST(floor(prev_n / 4) AS INT))").alias("head"))
@@ -126,7 +126,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 4) AS INT))"), F.col("head"))
     both = with_signatures(rows.join(ahead, "id"), "text", "sigs").select(
-        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sigs", "sigs")
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sigs", "sigs")
     both = with_signatures(both, "edited", "edited_sigs").withColumn("edited_sha256", F.sha2("edited", 256))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint("sigs").alias("fingerprint"),
