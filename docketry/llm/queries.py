@@ -90,3 +90,43 @@ LLM_ORACLE["op9_sharding"] = f"""
          slots AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
                                        % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
     SELECT doc_id, slot, CAST(o[slot + 1] AS INTEGER) AS shard FROM slots, owners"""
+
+LLM_ORACLE["op3_vector_dedup"] = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+              UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept,
+           CAST(1 AS DOUBLE) AS audit_recall
+    FROM parts LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) ON a = vec_id"""
+
+LLM_ORACLE["op1_sentence_dedup"] = f"""
+    WITH cut AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (
+                   SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(1)),
+                                               '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l
+                   FROM documents)),
+    placed AS (SELECT *, greatest(1, sum(CAST(regexp_matches(piece, '\\S') AS INTEGER)) OVER (
+                 PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS sid FROM cut),
+    s AS (SELECT doc_id, CAST(sid AS BIGINT) AS sid, string_agg(piece, '' ORDER BY pos) AS whole FROM placed
+          GROUP BY ALL HAVING regexp_matches(string_agg(piece, ''), '\\S')),
+    n AS (SELECT *, trim(regexp_replace(lower(whole), '\\s+', ' ', 'g')) AS norm FROM s),
+    w AS (SELECT *, len(string_split(norm, ' ')) AS words,
+                 sum(len(string_split(norm, ' '))) OVER (PARTITION BY doc_id ORDER BY sid) AS total FROM n),
+    runs AS (SELECT a.doc_id, a.sid AS first, min(b.sid) AS last FROM w a JOIN w b
+             ON a.doc_id = b.doc_id AND b.sid >= a.sid + {sentence_dedup.SENTENCES - 1}
+                AND b.total - a.total + a.words >= {sentence_dedup.WORDS} GROUP BY ALL),
+    lists AS (SELECT doc_id, list(norm ORDER BY sid) AS l FROM w GROUP BY 1),
+    again AS (SELECT doc_id, first, last, row_number() OVER (
+                PARTITION BY array_to_string(list_slice(l, first, last), chr(10)) ORDER BY doc_id, first) AS r
+              FROM runs JOIN lists USING (doc_id)),
+    marked AS (SELECT w.doc_id, w.sid, w.whole, count(g.first) > 0 AS gone FROM w LEFT JOIN
+                 (SELECT * FROM again WHERE r > 1) g ON w.doc_id = g.doc_id AND w.sid BETWEEN g.first AND g.last
+               GROUP BY ALL),
+    edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY sid), false) AS start
+              FROM marked)
+    SELECT d.doc_id, count(sid) AS n_sentences, count(*) FILTER (gone) AS n_removed, count(*) FILTER (start) AS n_spans,
+           sha256(CASE WHEN count(*) FILTER (gone) = 0 THEN coalesce(any_value(d.text), '')
+                       ELSE coalesce(string_agg(whole, '' ORDER BY sid) FILTER (NOT gone), '') END) AS kept_sha256
+    FROM documents d LEFT JOIN edges USING (doc_id) GROUP BY d.doc_id"""

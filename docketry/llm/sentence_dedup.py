@@ -24,14 +24,19 @@ EDGE = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 def sentences(text: str | None) -> list[str]:
     """The text in pieces that end in ``.``, ``!`` or ``?`` before a blank, or in a line break; joined they are the text.
 
-    A piece of blanks alone goes with the piece before it.
+    A piece of blanks alone goes with the piece before it, or with the first;
+    a text of blanks alone has no sentence.
     """
     out: list[str] = []
+    blanks = ""
     for piece in EDGE.split(text or ""):
-        if out and not piece.strip():
+        if piece.strip():
+            out.append(blanks + piece)
+            blanks = ""
+        elif out:
             out[-1] += piece
-        elif piece:
-            out.append(piece)
+        else:
+            blanks += piece
     return out
 
 

@@ -154,7 +154,7 @@ def plain_sentences(docs):
     seen, out = {}, {}
     for i, text in docs:
         pieces = sentence_dedup.sentences(text)
-        assert "".join(pieces) == (text or "")
+        assert "".join(pieces) == text
         norm = [" ".join(p.lower().split()) for p in pieces]
         gone = [False] * len(pieces)
         for a in range(len(pieces)):
