@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,11 @@ MAX_EXAMPLES = 20_000  # labelled rows the index is fitted on: the documented bo
 MAX_TERMS = 1_024  # terms of the index
 MIN_EXAMPLES = 5  # examples that must hold a term
 MIN_CHI2 = 25.0
+MIN_RATIO = 3.0  # a term's rate in one class over that in the other, or the reverse
 NEIGHBOURS = 25
 BLOCK = 64  # examples under one maximum
 THRESHOLD = 0.7
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 WORDS = re.compile(r"\w+")
 CACHE = 500_000  # words a worker remembers
 
@@ -57,7 +57,11 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """The terms with the highest chi-square against the label, over all examples; a fixed number at most."""
+    """The terms with the highest chi-square against the label, over all examples; a fixed number at most.
+
+    Words that merely lean to one label, as those of a language do, say little
+    about an example: one label's rate must be MIN_RATIO times the other's.
+    """
     n = examples.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in n}
     if len(n) < 2:
@@ -67,7 +71,9 @@ def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     rate = (F.col("a") + F.col("b")) / float(n[0] + n[1])
     chi2 = F.pow(F.col("a") / float(n[1]) - F.col("b") / float(n[0]), F.lit(2.0)) / (
         rate * (1 - rate) * (1.0 / n[1] + 1.0 / n[0]))
-    best = counts.filter(rate < 1).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
+    toxic, clean = F.col("a") / float(n[1]), F.col("b") / float(n[0])
+    telling = (toxic >= MIN_RATIO * clean) | (clean >= MIN_RATIO * toxic)
+    best = counts.filter(telling).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
     return sorted(r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect())
 
 
@@ -104,64 +110,86 @@ def _term_reader(terms: list[str]):
 TERM_ROWS = "id long, terms array<int>, tfs array<int>"
 
 
+def _frequencies(n_terms: int):
+    """Documents of each term, summed within a task: a row for each term it met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for b in batches:
+            total += np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
+
+    return run
+
+
 # --- the index
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit-length example vectors, cut into blocks of examples with the largest weight of each.
+    """Distinct unit vectors of the examples, in blocks; for each term the largest weight in each block.
 
-    ``top`` finds the exact k nearest: blocks are visited by their upper bound
-    and the search stops when no bound can beat the k-th score found.
+    ``top`` finds the exact nearest: blocks are visited by their upper bound
+    (the query's terms times their block maxima), a block that is visited is
+    scored in full, and the search stops when no bound can beat what is found.
+    Examples with the same vector stand as one, with their number and labels.
     """
 
     idf: np.ndarray
-    size: int
-    labels: np.ndarray
-    ids: np.ndarray
-    postings: dict = field(default_factory=dict)
-    maxima: np.ndarray = None
+    counts: np.ndarray  # examples of each vector
+    labels: np.ndarray  # how many of them are toxic
+    ids: list[list[int]]  # the three smallest ids of each
+    rows: np.ndarray  # start of each vector in terms and values
+    terms: np.ndarray
+    values: np.ndarray
+    maxima: np.ndarray
 
     @staticmethod
     def build(rows: list[tuple[int, list[int], list[int], int]], idf: np.ndarray) -> BlockMaxIndex:
-        vectors = [(weights(t, f, idf), i, t, y) for i, t, f, y in rows if t]
-        # like examples stand together, so block maxima are close to what the block holds
-        vectors.sort(key=lambda v: (v[2][int(np.argmax(v[0]))], list(v[2]), v[1]))
-        out = BlockMaxIndex(idf, len(vectors), np.array([v[3] for v in vectors], np.float64),
-                            np.array([v[1] for v in vectors], np.int64))
-        lists: dict[int, list] = {}
-        for at, (w, _, t, _) in enumerate(vectors):
-            for term, x in zip(t, w):
-                lists.setdefault(term, []).append((at, x))
-        blocks = -(-len(vectors) // BLOCK)
-        out.maxima = np.zeros((len(idf), blocks))
-        for term, pairs in lists.items():
-            at = np.array([p[0] for p in pairs], np.int64)
-            w = np.array([p[1] for p in pairs])
-            np.maximum.at(out.maxima[term], at // BLOCK, w)
-            cuts = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            out.postings[term] = (at % BLOCK, w, cuts)
-        return out
+        held: dict[tuple, list] = {}
+        for i, t, f, y in rows:
+            if t:
+                held.setdefault((tuple(t), tuple(f)), []).append((i, y))
+        vectors = [(weights(list(t), list(f), idf), t, sorted(own)) for (t, f), own in held.items()]
+        # like vectors stand together, so block maxima are close to what the block holds
+        vectors.sort(key=lambda v: (v[1][int(np.argmax(v[0]))], v[1], v[0].tolist()))
+        sizes = [len(v[1]) for v in vectors]
+        maxima = np.zeros((len(idf), max(1, -(-len(vectors) // BLOCK))))
+        for at, (w, t, _) in enumerate(vectors):
+            np.maximum.at(maxima[:, at // BLOCK], list(t), w)
+        return BlockMaxIndex(
+            idf, np.array([len(v[2]) for v in vectors], np.int64), np.array([sum(y for _, y in v[2]) for v in vectors]),
+            [[i for i, _ in v[2][:3]] for v in vectors], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))),
+            np.array([x for v in vectors for x in v[1]], np.int64),
+            np.concatenate([v[0] for v in vectors] or [np.empty(0)]), maxima)
 
     def top(self, terms: list[int], q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest (ties: lower position), cosine 0 left out."""
+        """Positions and cosines of the nearest vectors, as many as hold k examples (ties: lower position); none of cosine 0."""
         bounds = q @ self.maxima[terms]
-        found_at, found = np.empty(0, np.int64), np.empty(0)
-        lists = [self.postings.get(t) for t in terms]
+        dense = np.zeros(len(self.idf))
+        dense[terms] = q
+        best: list[tuple[float, int]] = []
+        least = 0.0
         for blk in np.argsort(-bounds, kind="stable"):
-            if bounds[blk] <= 0 or len(found) >= k and bounds[blk] < found[k - 1] - 1e-12:
+            if bounds[blk] <= 0 or bounds[blk] < least - 1e-12:
                 break
-            acc = np.zeros(BLOCK)
-            for x, p in zip(q, lists):
-                if p is not None and p[2][blk] < p[2][blk + 1]:
-                    s = slice(p[2][blk], p[2][blk + 1])
-                    acc[p[0][s]] += x * p[1][s]
-            near = np.flatnonzero(acc > 0)
-            found_at = np.concatenate([found_at, blk * BLOCK + near])
-            found = np.concatenate([found, acc[near]])
-            best = np.lexsort((found_at, -np.round(found, 12)))[:k]
-            found_at, found = found_at[best], found[best]
-        return found_at, found
+            first = blk * BLOCK
+            starts = self.rows[first:first + BLOCK + 1]
+            s, e = starts[0], starts[-1]
+            cos = np.add.reduceat(self.values[s:e] * dense[self.terms[s:e]], starts[:-1] - s).round(12)
+            near = np.flatnonzero(cos > max(0.0, least - 1e-12))
+            if len(near):
+                best += [(-cos[j], int(first + j)) for j in near]
+                best.sort()
+                held = 0
+                for n, (c, at) in enumerate(best):
+                    held += self.counts[at]
+                    if held >= k:
+                        del best[n + 1:]
+                        least = -c
+                        break
+        return np.array([at for _, at in best], np.int64), np.array([-c for c, _ in best])
 
 
 def weights(terms: list[int], tfs: list[int], idf: np.ndarray) -> np.ndarray:
@@ -170,10 +198,16 @@ def weights(terms: list[int], tfs: list[int], idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt(w @ w)
 
 
-def vote(cosines: np.ndarray, labels: np.ndarray, prior: float) -> float:
-    """Share of toxic neighbours, each weighing 1 / (distance + 0.05), with one vote for the prior."""
-    w = 1 / (1.05 - np.minimum(cosines, 1.0))
-    return float((w @ labels + prior) / (w.sum() + 1))
+def vote(cosines: np.ndarray, counts: np.ndarray, toxic: np.ndarray, k: int, prior: float) -> float:
+    """Toxic share among the k nearest, each weighing 1 / (distance + 0.05), with one vote for the prior.
+
+    Of the last vector only as many examples vote as are wanted, with its share of labels.
+    """
+    before = np.cumsum(counts) - counts
+    wanted = np.clip(k - before, 0, counts)
+    w = wanted / (1.05 - np.minimum(cosines, 1.0))
+    share = np.divide(toxic, counts, out=np.zeros(len(counts)), where=counts > 0)
+    return float((w @ share + prior) / (w.sum() + 1))
 
 
 @dataclass
@@ -209,21 +243,26 @@ def isotonic(raw: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray,
     return np.array(edges), np.maximum.accumulate(np.array(values)) if values else np.array(values)
 
 
-def _votes(index: BlockMaxIndex, prior: float, terms: list[int], tfs: list[int], own: int | None):
+def _votes(index: BlockMaxIndex, prior: float, terms: list[int], tfs: list[int], own: int | None = None):
+    """Vote of the nearest examples; ``own`` is the label of an example that must not vote for itself."""
     q = weights(terms, tfs, index.idf)
     at, cos = index.top(terms, q, NEIGHBOURS + (own is not None))
+    counts, toxic = index.counts[at].copy(), index.labels[at].astype(float)
     if own is not None:
-        other = index.ids[at] != own
-        at, cos = at[other][:NEIGHBOURS], cos[other][:NEIGHBOURS]
-    return vote(cos, index.labels[at], prior), at, cos
+        for n, v in enumerate(at):  # its own vector: equal terms and weights
+            s, e = index.rows[v], index.rows[v + 1]
+            if e - s == len(terms) and (index.terms[s:e] == terms).all() and np.allclose(index.values[s:e], q):
+                counts[n] -= 1
+                toxic[n] -= own
+                break
+    return vote(cos, counts, toxic, NEIGHBOURS, prior), at, cos
 
 
 def _held_one_out(index: BlockMaxIndex, prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = b.to_pydict()
-            rows = [(_votes(index, prior, t, f, i)[0], y) for i, t, f, y in zip(d["id"], d["terms"], d["tfs"], d["y"])
-                    if t]
+            rows = [(_votes(index, prior, t, f, y)[0], y) for t, f, y in zip(d["terms"], d["tfs"], d["y"]) if t]
             yield pa.RecordBatch.from_pydict({"raw": pa.array([r[0] for r in rows], pa.float64()),
                                               "y": pa.array([r[1] for r in rows], pa.int32())})
 
@@ -255,8 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = landed(rows.mapInArrow(_term_reader(terms), TERM_ROWS), "terms")
     total = found.count()
     df = np.zeros(max(1, len(terms)))
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # MAX_TERMS rows at most
-        df[r["t"]] = r["count"]
+    counted = found.select("terms").mapInArrow(_frequencies(max(1, len(terms))), "t long, n long")
+    for r in counted.groupBy("t").agg(F.sum("n").alias("n")).collect():  # MAX_TERMS rows at most
+        df[r["t"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     sparse = examples.select("id", "text").mapInArrow(_term_reader(terms), TERM_ROWS)
     sparse = landed(sparse.join(F.broadcast(chosen), sparse["id"] == chosen["lid"]).select("id", "terms", "tfs", "y"),
@@ -284,9 +324,9 @@ def _scorer(model: ToxicityModel):
                     if not t:
                         hit = (model.empty, [], [])
                     else:
-                        raw, at, cos = _votes(model.index, model.prior, t, f, None)
-                        hit = (min(1.0, max(0.0, model.calibrated(raw))), model.index.ids[at[:3]].tolist(),
-                               cos[:3].tolist())
+                        raw, at, cos = _votes(model.index, model.prior, t, f)
+                        near3 = [(i, float(c)) for v, c in zip(at[:3], cos[:3]) for i in model.index.ids[v]][:3]
+                        hit = (min(1.0, max(0.0, model.calibrated(raw))), [i for i, _ in near3], [c for _, c in near3])
                     if len(known) >= CACHE // 10:
                         known.clear()
                     known[key] = hit
