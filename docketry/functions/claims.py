@@ -125,8 +125,12 @@ def unique_claim_id(app_id: ColumnOrName, claim: ColumnOrName) -> Column:
 
 
 def uniform_from_key(key: ColumnOrName) -> Column:
-    """Reproducible u in (0, 1) from an integer key, equal in every SQL engine."""
-    spread = (_col(key).cast("bigint") * F.lit(2654435761)) % F.lit(4294967296)
+    """Reproducible u in (0, 1) from an integer key, equal in every SQL engine.
+
+    The key is reduced to 31 bits first, so the product stays below 2^63 for
+    any key; keys that differ by a multiple of 2^31 share their u.
+    """
+    spread = (F.pmod(_col(key).cast("bigint"), F.lit(2147483648)) * F.lit(2654435761)) % F.lit(4294967296)
     return (spread + F.lit(0.5)) / F.lit(4294967296.0)
 
 

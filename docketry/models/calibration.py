@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
@@ -23,7 +25,7 @@ def fold_of(df: DataFrame, folds: int, seed: int):
 
 class _SvcParams(HasFeaturesCol, HasLabelCol):
     C = Param(Params._dummy(), "C", "inverse regularisation; regParam = 1 / (C n)", TypeConverters.toFloat)
-    maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
+    maxIter = Param(Params._dummy(), "maxIter", "bound on iterations; a fit that reaches it warns", TypeConverters.toInt)
     folds = Param(Params._dummy(), "folds", "folds for calibration, 0 = none", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
 
@@ -32,15 +34,15 @@ class CalibratedLinearSvc(Estimator, _SvcParams, DefaultParamsReadable, DefaultP
     """Linear margin classifier; label from the margin's sign, probability from calibration."""
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="treated", C=1.0, maxIter=30, folds=5, seed=42):
+    def __init__(self, *, featuresCol="features", labelCol="treated", C=1.0, maxIter=200, folds=5, seed=42):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="treated", C=1.0, maxIter=30, folds=5, seed=42)
+        self._setDefault(featuresCol="features", labelCol="treated", C=1.0, maxIter=200, folds=5, seed=42)
         self._set(**self._input_kwargs)
 
     def _svc(self, n: int) -> LinearSVC:
         return LinearSVC(
             featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(), standardization=False,
-            regParam=1.0 / (self.getOrDefault(self.C) * max(n, 1)), maxIter=self.getOrDefault(self.maxIter), tol=1e-3,
+            regParam=1.0 / (self.getOrDefault(self.C) * max(n, 1)), maxIter=self.getOrDefault(self.maxIter), tol=1e-4,
         )
 
     def _fit(self, dataset: DataFrame) -> PlattModel:
@@ -65,6 +67,8 @@ class CalibratedLinearSvc(Estimator, _SvcParams, DefaultParamsReadable, DefaultP
                 return self._svc(inside[k]).fit(data.filter(F.col("_fold") != k))
 
             svc, *left_out = side_by_side(dataset.sparkSession, fit, [None, *usable])
+            if svc.summary().totalIterations >= self.getOrDefault(self.maxIter):
+                warnings.warn("the margin solver stopped at maxIter before it converged", stacklevel=2)
             slope, intercept = 1.0, 0.0
             if usable:
                 parts = [

@@ -18,6 +18,7 @@ from docketry.models.features import PriorShift, doc_vector_stages, tfidf_stages
 from docketry.models.fitting import fit_in_order
 from docketry.models.huber import ModifiedHuber
 from docketry.models.kernel import NystroemMap
+from docketry.models.neighbours import NeighbourVote
 from docketry.models.threads import side_by_side
 from docketry.operators import evaluation as ev
 
@@ -70,8 +71,9 @@ REGISTRY: dict[str, Callable[..., list]] = {
         featuresCol="features", labelCol=LABEL, maxDepth=depth, seed=42)],
     "random_forest": lambda n, trees=100, depth=30: [RandomForestClassifier(
         featuresCol="features", labelCol=LABEL, numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, seed=42)],
+    "k_neighbors": lambda n, k=5: [NeighbourVote(featuresCol="features", labelCol=LABEL, k=k)],
     "sgd_hinge": lambda n: [LinearSVC(featuresCol="features", labelCol=LABEL, regParam=1e-4, standardization=False)],
-    "sgd_modified_huber": lambda n, steps=25: [ModifiedHuber(featuresCol="features", labelCol=LABEL, maxIter=steps)],
+    "sgd_modified_huber": lambda n, steps=100: [ModifiedHuber(featuresCol="features", labelCol=LABEL, maxIter=steps)],
     "adaboost": lambda n, rounds=50: [BoostedStumps(featuresCol="features", labelCol=LABEL, rounds=rounds)],
     "gradient_boosting": lambda n, rounds=100: [GBTClassifier(
         featuresCol="features", labelCol=LABEL, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=42)],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, Word2Vec
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docketry.functions import tokens as tk
 from docketry.functions.porter import stem_tokens, stop_words_with_stems
 
-VOCABULARY_LIMIT = 1 << 20
+ALL_TERMS = (1 << 31) - 1  # the counting stage asks for a size; every term within the document bounds is kept
 TOKENIZERS = ("default", "default_unstemmed", "custom", "custom_parity", "words")
 
 
@@ -109,13 +109,12 @@ def tfidf_stages(
     min_df: float = 10.0,
     max_df: float = 0.5,
     use_idf: bool = True,
-    vocabulary_limit: int = VOCABULARY_LIMIT,
 ) -> list:
     """Stages text -> n-grams -> counts -> smooth TF-IDF -> unit length."""
     stages = [
         TermGrams(inputCol=text, outputCol="_terms", tokenizer=tokenizer, maxN=max_n),
         CountVectorizer(
-            inputCol="_terms", outputCol="_counts", minDF=float(min_df), maxDF=float(max_df), vocabSize=vocabulary_limit
+            inputCol="_terms", outputCol="_counts", minDF=float(min_df), maxDF=float(max_df), vocabSize=ALL_TERMS
         ),
     ]
     if use_idf:
@@ -139,10 +138,6 @@ def doc_vector_stages(
     ]
 
 
-def feature_pipeline(**kwargs) -> Pipeline:
-    return Pipeline(stages=tfidf_stages(**kwargs))
-
-
 def sparse_columns(df: DataFrame, features: str = "features") -> DataFrame:
     """Add ``_idx`` and ``_val``: positions and values of the non-zero entries."""
     raw = df.withColumn("_vec", F.unwrap_udt(F.col(features)))
@@ -155,6 +150,6 @@ def sparse_columns(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 __all__ = [
-    "PriorShift", "SmoothIdf", "TermGrams", "Vectors", "doc_vector_stages", "feature_pipeline", "sparse_columns",
+    "PriorShift", "SmoothIdf", "TermGrams", "Vectors", "doc_vector_stages", "sparse_columns",
     "tfidf_stages", "token_column",
 ]

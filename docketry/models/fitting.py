@@ -13,14 +13,6 @@ from docketry.models.features import TermGrams
 from docketry.models.kernel import NystroemMap
 
 
-ROWS_PER_TASK = 5_000
-
-
-def few_tasks(data: DataFrame, rows: int) -> DataFrame:
-    """No more tasks than the rows are worth, as every iteration of a fit starts all of them."""
-    return data.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
-
-
 def fit_in_order(stages: Sequence, df: DataFrame) -> PipelineModel:
     """Fit like a pipeline, storing tokens, vectors and kernel features once.
 
@@ -34,8 +26,6 @@ def fit_in_order(stages: Sequence, df: DataFrame) -> PipelineModel:
             fitted.append(model)
             if i + 1 < len(stages):
                 data = model.transform(data)
-                if isinstance(stage, (Normalizer, NystroemMap)):
-                    data = few_tasks(data, held[0].count() if held else data.count())
                 if isinstance(stage, (TermGrams, Normalizer, NystroemMap)):
                     data = data.persist(StorageLevel.MEMORY_AND_DISK)
                     held.append(data)

@@ -26,7 +26,7 @@ class ModifiedHuber(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadabl
     maxIter = Param(Params._dummy(), "maxIter", "gradient steps", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=25):
+    def __init__(self, *, featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=100):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=25)
         self._set(**self._input_kwargs)

@@ -83,8 +83,15 @@ def year_bounds(df: DataFrame, column: str = "year") -> DataFrame:
 
 
 def clamp_years(df: DataFrame, low: int, high: int, column: str = "year") -> DataFrame:
-    """Rows within the asked range clamped to the range of the data."""
-    return df.filter(F.col(column).between(low, high))
+    """Rows within the asked range, each bound clamped to the range of the data.
+
+    A bound beyond the data moves to its end, so a range entirely outside keeps
+    the nearest year.
+    """
+    first, last = year_bounds(df, column).first()
+    if first is None:
+        return df
+    return df.filter(F.col(column).between(min(max(low, first), last), max(min(high, last), first)))
 
 
 def distinct_keys(df: DataFrame, column: str, name: str | None = None) -> DataFrame:

@@ -14,14 +14,16 @@ from docketry.operators.ranking import ROWS_TO_RANK, at_most, rank_threshold, sm
 
 
 def weighted_without_replacement(
-    df: DataFrame, n: int, weight: str, u: Column, tie: str, rows_per_block: int = ROWS_TO_RANK
+    df: DataFrame, n: int, weight: str, u: Column, tie: str | Sequence[str], rows_per_block: int = ROWS_TO_RANK
 ) -> DataFrame:
     """Draw n rows with chance proportional to weight (Efraimidis and Spirakis, 2006).
 
-    Row key -ln(u)/w; the n smallest are kept. ``tie`` is a unique numeric id.
+    Row key -ln(u)/w; the n smallest are kept. ``tie`` names numeric columns
+    that together identify a row.
     """
+    ties = [tie] if isinstance(tie, str) else list(tie)
     keyed = df.filter(F.col(weight) > 0).withColumn("_key", -F.log(u) / F.col(weight))
-    return smallest_n(keyed, ["_key", tie], n, rows_per_block=rows_per_block).drop("_key")
+    return smallest_n(keyed, ["_key", *ties], n, rows_per_block=rows_per_block).drop("_key")
 
 
 def uniform_sample(df: DataFrame, n: int, u: Column, tie: str, rows_per_block: int = ROWS_TO_RANK) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions import claims as cl
 from docketry.operators import counting as ct
-from docketry.operators.joins import anti, broadcast_if_small, semi
+from docketry.operators.joins import anti, semi
 from docketry.operators.sampling import weighted_with_replacement, weighted_without_replacement
-from docketry.session import materialize
+from docketry.session import materialize, written
 
 
 def independent_claims(claims: DataFrame, origin: str) -> DataFrame:
@@ -93,7 +93,11 @@ def control_cohorts(
     """
     apps = with_application_keys(applications)
     per_app = ct.value_counts(rejections.select(cl.to_int_id("app_id").alias("app_id")), "app_id")
-    rejected = apps.join(per_app, "app_id").select(F.year("filing_date_dt").alias("filing_year"), "uspc_class_str", "count")
+    # one row per year and class: years and classes both come from it, and its size in bytes is known
+    rejected = written(
+        apps.join(per_app, "app_id").groupBy(F.year("filing_date_dt").alias("filing_year"), "uspc_class_str")
+        .agg(F.sum("count").alias("count")), "rejected-cells",
+    )
     years = ct.distinct_keys(rejected, "filing_year")
     main = (
         rejected.filter(F.col("uspc_class_str").isNotNull())
@@ -185,7 +189,7 @@ class TrainingConfig:
     decision: dt.date = cl.DECISION_DATE
     seed: int = 42
     u: Callable[[], Column] | None = None
-    tie: Callable[[], Column] | None = None
+    tie: list[str] | None = None  # numeric columns that order rows of equal key
 
 
 @dataclass
@@ -225,26 +229,30 @@ def balanced_training(treated: DataFrame, controls: DataFrame, config: TrainingC
     treated = materialize(unique_claims(treated))
     main = class_list(treated, config)
     chosen = semi(treated, main, "uspc_class_str").select("*", year)
-    cells = ct.relative_frequencies(ct.value_counts(chosen, "uspc_class_str", "filing_year"))
+    cells = written(ct.relative_frequencies(ct.value_counts(chosen, "uspc_class_str", "filing_year")), "cells")
     timed = semi(
         unique_claims(controls.filter(F.col("patent_issue_date_dt") > F.lit(config.decision))), main, "uspc_class_str"
     ).select("*", year)
-    pool = timed.join(broadcast_if_small(cells.drop("count")), ["uspc_class_str", "filing_year"])
+    pool = timed.join(cells.drop("count"), ["uspc_class_str", "filing_year"])
     if config.per_cell:
         sizes = ct.value_counts(pool, "uspc_class_str", "filing_year")
         pool = pool.join(sizes, ["uspc_class_str", "filing_year"]).withColumn(
             "relative_freq", F.col("relative_freq") / F.col("count")
         ).drop("count")
-    row_hash = F.xxhash64(F.lit(config.seed), *DEDUP_KEYS)
-    tie = config.tie() if config.tie else row_hash
     u = config.u() if config.u else cl.uniform_from_hash(config.seed, *DEDUP_KEYS)
-    pool = materialize(pool.withColumn("_tie", tie))
+    pool = pool.withColumns({"_row": F.xxhash64(F.lit(config.seed), *DEDUP_KEYS), "_u": u})
+    # the draw sees keys and weights only; the winners' texts are joined afterwards
+    slim = materialize(pool.select("_row", "app_id", "claim_int", "relative_freq", "_u"))
     n = chosen.count()
     if config.replacement:
-        drawn = weighted_with_replacement(pool, n, "relative_freq", "_tie", config.seed).drop("draw_no")
+        keys = weighted_with_replacement(slim, n, "relative_freq", "_row", config.seed).drop("draw_no")
     else:
-        drawn = weighted_without_replacement(pool, n, "relative_freq", u, "_tie")
-    drawn = drawn.drop("_tie").withColumn("unique_claim_id", cl.unique_claim_id("app_id", "claim_int"))
+        ties = [*(config.tie or []), "_row", "app_id", "claim_int"]
+        keys = weighted_without_replacement(slim, n, "relative_freq", F.col("_u"), list(dict.fromkeys(ties)))
+    keys = keys.select(F.col("_row").alias("_drawn"), F.col("app_id").alias("_app"))
+    same = (F.col("_row") == F.col("_drawn")) & F.col("app_id").eqNullSafe(F.col("_app"))
+    drawn = pool.join(keys, same).drop("_row", "_u", "_drawn", "_app")
+    drawn = drawn.withColumn("unique_claim_id", cl.unique_claim_id("app_id", "claim_int"))
     both = ct.union_rows(
         chosen.select("app_id", "claim_text", F.lit(1).alias("treated")),
         drawn.select("app_id", "claim_text", F.lit(0).alias("treated")),

@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -70,15 +71,15 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a file scan of few splits out to all cores; a scan with splits enough is left alone.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table written under the shared folder and read back.
 
-    Small files often hold one row group, which one task would read, tokenize
-    and stem alone. Only such small input is shuffled here.
+    Files tell the planner their bytes, so a small table is broadcast by Spark's
+    own threshold and a large one is not; no row count is needed.
     """
-    spark = scan.sparkSession
-    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

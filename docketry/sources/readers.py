@@ -14,15 +14,18 @@ from docketry.sources import schemas
 Paths = str | Sequence[str]
 
 
-def _delimited(spark: SparkSession, path: Paths, schema: T.StructType, sep: str) -> DataFrame:
-    """Delimited text with quoted, possibly multi-line values.
+def _delimited(
+    spark: SparkSession, path: Paths, schema: T.StructType, sep: str, multi_line: bool = False
+) -> DataFrame:
+    """Delimited text with quoted values.
 
     Columns are matched by header name: the file may hold more columns, in any
-    order. A multi-line file cannot be split, so big inputs are landed as
-    Parquet once (``land_claims``) and read from there.
+    order. Files are read in splits. Only claim texts may hold line breaks; such
+    a multi-line file cannot be split, so big inputs are landed as Parquet once
+    (``land_claims``) and read from there.
     """
     raw = spark.read.csv(
-        path, sep=sep, header=True, quote='"', escape='"', multiLine=True, inferSchema=False, enforceSchema=False
+        path, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False, enforceSchema=False
     )
     present = set(raw.columns)
     return raw.select(*[
@@ -31,8 +34,8 @@ def _delimited(spark: SparkSession, path: Paths, schema: T.StructType, sep: str)
     ])
 
 
-def read_tsv(spark: SparkSession, path: Paths, schema: T.StructType) -> DataFrame:
-    return _delimited(spark, path, schema, "\t")
+def read_tsv(spark: SparkSession, path: Paths, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    return _delimited(spark, path, schema, "\t", multi_line)
 
 
 def read_csv(spark: SparkSession, path: Paths, schema: T.StructType) -> DataFrame:
@@ -40,11 +43,11 @@ def read_csv(spark: SparkSession, path: Paths, schema: T.StructType) -> DataFram
 
 
 def read_issued_claims(spark: SparkSession, path: Paths) -> DataFrame:
-    return read_tsv(spark, path, schemas.ISSUED_CLAIMS)
+    return read_tsv(spark, path, schemas.ISSUED_CLAIMS, multi_line=True)
 
 
 def read_pregrant_claims(spark: SparkSession, path: Paths) -> DataFrame:
-    return read_tsv(spark, path, schemas.PREGRANT_CLAIMS).withColumnRenamed("pgpub_id", "document_number")
+    return read_tsv(spark, path, schemas.PREGRANT_CLAIMS, multi_line=True).withColumnRenamed("pgpub_id", "document_number")
 
 
 def read_applications(spark: SparkSession, path: Paths) -> DataFrame:

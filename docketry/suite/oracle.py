@@ -106,7 +106,7 @@ sql("action_funnel", "office_actions", " UNION ALL ".join(
 # --- controls and the training table
 COHORT = """
     rejected AS (SELECT a.filing_date_dt, a.uspc_class_str FROM apps a
-                 JOIN rejections r ON a.app_id = CAST(r.app_id AS BIGINT)),
+                 JOIN rejections r ON a.app_id = CAST(r.app_id AS BIGINT) WHERE true),
     main AS (SELECT uspc_class_str FROM rejected WHERE uspc_class_str IS NOT NULL GROUP BY 1
              ORDER BY count(*) DESC, 1 LIMIT 10),
     cohort AS (SELECT * FROM apps WHERE status = 150
@@ -121,6 +121,12 @@ def cohort_sql(body: str, views: str = "apps rejections office_actions") -> str:
 NO_ACTION = "app_id NOT IN (SELECT CAST(app_id AS BIGINT) FROM office_actions)"
 ORACLE["control_cohort_anti"] = cohort_sql(
     f"SELECT app_id, uspc_class_str, filing_date_dt, status FROM cohort WHERE {NO_ACTION}")
+for _name, _grounds, _classes in (
+    ("control_cohort_four_grounds", "alice_in = 1 OR bilski_in = 1 OR mayo_in = 1 OR myriad_in = 1", 100),
+    ("control_cohort_one_ground", "alice_in = 1", 50),
+):
+    ORACLE[_name] = ORACLE["control_cohort_anti"].replace("WHERE true)", f"WHERE {_grounds})").replace(
+        "LIMIT 10", f"LIMIT {_classes}")
 ORACLE["control_cohort_101"] = cohort_sql("""
     SELECT app_id, patent_num, uspc_class_str, patent_issue_date_dt FROM cohort
     WHERE patent_issue_date_dt > DATE '1998-06-19' AND patent_num IS NOT NULL
@@ -161,7 +167,7 @@ sql("cell_frequencies", "training", f"""
     SELECT c.uspc_class_str, c.filing_year, c."count", count(*) AS controls, round(c.relative_freq, 6) AS relative_freq
     FROM training t JOIN ({CELLS}) c ON t.uspc_class_str = c.uspc_class_str AND t.filing_year = c.filing_year
     WHERE t.treated = 0 GROUP BY ALL""")
-U = "(({k} * 2654435761) % 4294967296 + 0.5) / 4294967296.0"
+U = "((({k} % 2147483648 + 2147483648) % 2147483648 * 2654435761) % 4294967296 + 0.5) / 4294967296.0"
 sql("weighted_sample", "training", f"""
     SELECT t.app_id, t.uspc_class_str, t.filing_year
     FROM training t JOIN ({CELLS}) c ON t.uspc_class_str = c.uspc_class_str AND t.filing_year = c.filing_year
@@ -186,13 +192,13 @@ sql("clamped_years", "claims", """
     GROUP BY 1""")
 
 
-def training_sql(controls: str, weight: str) -> str:
+def training_sql(controls: str, weight: str, classes: str = "") -> str:
     unique = """
       (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_text, app_id, earliest_pgpub_number
                       ORDER BY claim_int) AS r FROM ({rows})) WHERE r = 1)"""
     return with_views("treated_rows apps independent_issued app_claims", "").rstrip() + f""",
     t AS {unique.format(rows="SELECT * FROM treated_rows")},
-    main AS (SELECT uspc_class_str FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20),
+    main AS ({classes or "SELECT uspc_class_str FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20"}),
     chosen AS (SELECT *, year(filing_date_dt) AS fy FROM t WHERE uspc_class_str IN (SELECT * FROM main)),
     cells AS (SELECT uspc_class_str, fy, count(*) / CAST((SELECT count(*) FROM chosen) AS DOUBLE) AS f
               FROM chosen GROUP BY 1, 2),
@@ -201,7 +207,7 @@ def training_sql(controls: str, weight: str) -> str:
              FROM c JOIN cells ON c.uspc_class_str = cells.uspc_class_str AND year(c.filing_date_dt) = fy),
     drawn AS (SELECT * FROM pool
               ORDER BY -ln(CAST({U.format(k='(app_id * 1000 + claim_int)')} AS DOUBLE)) / ({weight}),
-                       app_id * 1000 + claim_int
+                       app_id, claim_int
               LIMIT (SELECT count(*) FROM chosen))
     SELECT app_id, regexp_replace(claim_text, '^\\d{{1,3}}\\.{{0,1}}\\s', '') AS claim_text,
            CAST(treated AS INTEGER) AS treated
@@ -209,6 +215,7 @@ def training_sql(controls: str, weight: str) -> str:
 
 
 ORACLE["balanced_training"] = training_sql(ISSUED_CONTROLS, "f")
+ORACLE["balanced_training_of_classes"] = training_sql(ISSUED_CONTROLS, "f", "SELECT unnest(['3', '7', '12']) AS uspc_class_str")
 ORACLE["balanced_training_pregrant"] = training_sql(PREGRANT_CONTROLS, "f / size")
 sql("union_of_extracts", "independent_issued app_claims", """
     SELECT 'control' AS role, 'issued' AS origin, count(*) AS "count" FROM independent_issued
@@ -234,6 +241,9 @@ ORACLE["union_of_ids"] = affected_sql("SELECT patent_id FROM ids")
 ORACLE["cpc_concordance"] = affected_sql("SELECT * FROM grp")
 ORACLE["affected_patents"] = affected_sql(
     "SELECT DISTINCT patent_id FROM inventional WHERE group_id IN (SELECT group_id FROM grp)")
+ORACLE["affected_patents_one_class"] = ORACLE["affected_patents"].replace(
+    "SELECT uspc_class_str FROM apps GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4", "SELECT '3' AS uspc_class_str").replace(
+    "LIMIT 5", "LIMIT 3")
 ORACLE["group_shares"] = affected_sql("""
     SELECT group_id, c AS "count", round(c / n, 6) AS share, round(sum(c / n) OVER (ORDER BY c DESC, group_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_share
@@ -344,7 +354,7 @@ sql("ngram_counts", "training", f"""
       SELECT unnest(list_concat(l, list_concat(
                [l[i] || ' ' || l[i + 1] for i in range(1, len(l))],
                [l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] for i in range(1, len(l) - 1)]))) AS term
-      FROM (SELECT {TOKENS} AS l FROM training)) GROUP BY 1 HAVING count(*) >= 2""")
+      FROM (SELECT {TOKENS} AS l FROM training)) GROUP BY 1""")
 sql("tfidf_weights", "word_tfidf", "SELECT app_id, term, tf, round(weight, 6) AS weight FROM word_tfidf")
 sql("tf_weights_without_idf", "word_tf word_df", """
     SELECT app_id, term, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY app_id)), 6) AS weight
@@ -382,7 +392,7 @@ sql("lime_top_words", "word_weights", """
     SELECT 'control', word, "count" FROM (SELECT * FROM agg WHERE mean < 0 ORDER BY "count" DESC, word LIMIT 200)""")
 
 # --- classifiers
-sql("naive_bayes_scores", "word_tfidf", """
+BAYES = """
     , mass AS (SELECT term, coalesce(sum(weight) FILTER (treated = 0), 0) AS w0,
                       coalesce(sum(weight) FILTER (treated = 1), 0) AS w1 FROM word_tfidf GROUP BY 1),
     theta AS (SELECT term, ln((w0 + 1) / ((SELECT sum(w0) FROM mass) + (SELECT count(*) FROM mass))) AS t0,
@@ -392,7 +402,9 @@ sql("naive_bayes_scores", "word_tfidf", """
             FROM training t LEFT JOIN (SELECT app_id, sum(weight * t0) AS s0, sum(weight * t1) AS s1
                                        FROM word_tfidf w JOIN theta USING (term) GROUP BY 1) s ON t.app_id = s.app_id)
     SELECT app_id, round(score_0, 6) AS score_0, round(score_1, 6) AS score_1,
-           CAST(score_1 > score_0 AS INTEGER) AS predicted_label FROM raw""")
+           CAST(score_1 > score_0 AS INTEGER) AS predicted_label FROM raw"""
+sql("naive_bayes_scores", "word_tfidf", BAYES)
+sql("reloaded_model_scores", "word_tfidf", BAYES)
 sql("knn_vote", "word_tfidf split", """
     , pairs AS (SELECT q.app_id, t.app_id AS neighbour, t.treated FROM split q, split t
                 WHERE q.is_test = 1 AND t.is_test = 0),

@@ -258,6 +258,24 @@ def control_cohort_anti(v: Views) -> DataFrame:
     return cohorts(v).no_action.select("app_id", "uspc_class_str", "filing_date_dt", "status")
 
 
+def cohort_of_grounds(v: Views, grounds: tuple[str, ...], n_classes: int) -> DataFrame:
+    rejections = v.rejections().filter(co.any_ground(grounds))
+    out = co.control_cohorts(v.applications(), v.office_actions(), rejections, n_classes, DECISION)
+    return out.no_action.select("app_id", "uspc_class_str", "filing_date_dt", "status")
+
+
+@query
+def control_cohort_four_grounds(v: Views) -> DataFrame:
+    """Variant: rejections on any of four grounds, 100 classes."""
+    return cohort_of_grounds(v, ("alice_in", "bilski_in", "mayo_in", "myriad_in"), 100)
+
+
+@query
+def control_cohort_one_ground(v: Views) -> DataFrame:
+    """Variant: rejections on one ground, 50 classes."""
+    return cohort_of_grounds(v, ("alice_in",), 50)
+
+
 @query
 def control_cohort_101(v: Views) -> DataFrame:
     return cohorts(v).no_101.select("app_id", "patent_num", "uspc_class_str", "patent_issue_date_dt")
@@ -368,8 +386,7 @@ def year_bounds(v: Views) -> DataFrame:
 @query
 def clamped_years(v: Views) -> DataFrame:
     claims = v.claims()
-    low, high = ct.year_bounds(claims).first()
-    return ct.value_counts(ct.clamp_years(claims, max(low, 2012), min(high, 2020)), "year")
+    return ct.value_counts(ct.clamp_years(claims, 2012, 2020), "year")
 
 
 def training_inputs(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -378,9 +395,9 @@ def training_inputs(v: Views) -> tuple[DataFrame, DataFrame]:
 
 
 def training_config() -> co.TrainingConfig:
-    key = F.col("app_id") * 1000 + F.col("claim_int")
+    key = F.pmod("app_id", F.lit(1 << 31)) * 1000 + F.col("claim_int")
     return co.TrainingConfig(
-        n_classes=20, decision=DECISION, u=lambda: cl.uniform_from_key(key), tie=lambda: key
+        n_classes=20, decision=DECISION, u=lambda: cl.uniform_from_key(key), tie=["app_id", "claim_int"]
     )
 
 
@@ -389,6 +406,14 @@ def balanced_training(v: Views) -> DataFrame:
     return co.balanced_training(*training_inputs(v), training_config()).training_data
 
 
+@query
+def balanced_training_of_classes(v: Views) -> DataFrame:
+    """Variant: a stated list of classes in place of the most frequent ones."""
+    config = training_config()
+    config.classes = ["3", "7", "12"]
+    return co.balanced_training(*training_inputs(v), config).training_data
+
+
 @query
 def balanced_training_pregrant(v: Views) -> DataFrame:
     """Variant: controls from publications, weights evened out per cell."""
@@ -434,6 +459,13 @@ def affected_patents(v: Views) -> DataFrame:
     return affected(v).cpc_patents
 
 
+@query
+def affected_patents_one_class(v: Views) -> DataFrame:
+    """Variant: a list of one class, three groups."""
+    classes = v.spark.createDataFrame([("3",)], "uspc_class_str string")
+    return af.affected_patents(v.uspc(), v.applications(), v.cpc(), classes, 3).cpc_patents
+
+
 @query
 def group_shares(v: Views) -> DataFrame:
     out = af.group_shares(v.cpc(), affected(v).uspc_patents)
@@ -597,9 +629,9 @@ def document_frequency(v: Views) -> DataFrame:
 
 @query
 def ngram_counts(v: Views) -> DataFrame:
-    """1- to 3-grams of all documents that occur twice or more."""
+    """1- to 3-grams of all documents."""
     tokens = v.training().select(tk.word_tokens("claim_text").alias("tokens"))
-    return tm.term_counts(tokens, tk.ngrams("tokens", 1, 3)).filter(F.col("tf") >= 2)
+    return tm.term_counts(tokens, tk.ngrams("tokens", 1, 3))
 
 
 @query
@@ -635,13 +667,8 @@ def lime_top_words(v: Views) -> DataFrame:
 
 # --- classifiers ---------------------------------------------------------------------------------
 
-# Small forests and few rounds keep the check short; features and rows are whole.
+# Features that SQL can rebuild, for the queries compared with it; all others take the default features.
 WORDS = {"tokenizer": "words", "max_n": 1}
-QUICK = {
-    "decision_tree": {"depth": 8}, "random_forest": {"trees": 20, "depth": 8}, "adaboost": {"rounds": 8},
-    "gradient_boosting": {"rounds": 8}, "svc_rbf": {"n_landmarks": 128}, "svc_poly2": {"n_landmarks": 128},
-    "sgd_modified_huber": {"steps": 20},
-}
 
 
 def split(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -651,7 +678,7 @@ def split(v: Views) -> tuple[DataFrame, DataFrame]:
 
 def scores_of(v: Views, name: str, **feature_args) -> DataFrame:
     train, test = split(v)
-    model = mc.fit_classifier(name, train, feature_args=feature_args or None, **QUICK.get(name, {}))
+    model = mc.fit_classifier(name, train, feature_args=feature_args or None)
     out = mc.predict(model, test)
     keep = [c for c in ("margin", "0", "1", "predicted_label") if c in out.columns]
     return out.select("app_id", "treated", *[f"`{c}`" for c in keep])
@@ -675,8 +702,38 @@ def knn_vote(v: Views) -> DataFrame:
     parts = sp.stratified_split(v.training(), "treated", cl.uniform_from_key("app_id"), "app_id")
     vectors = fit_in_order(tfidf_stages(**WORDS), parts)
     data = vectors.transform(parts)
-    near = nb.nearest(data.filter("is_test = 0"), data.filter("is_test = 1"), "app_id", "treated", k=5)
-    return nb.vote(near, "app_id").select("app_id", r6("p1", "p1"), "predicted_label")
+    model = nb.NeighbourVote(labelCol="treated", keyCol="app_id").fit(data.filter("is_test = 0"))
+    out = mc.predict(model, data.filter("is_test = 1").select("app_id", "features"))
+    return out.select("app_id", r6("`1`", "p1"), "predicted_label")
+
+
+@query
+def k_neighbors_scores(v: Views) -> DataFrame:
+    return scores_of(v, "k_neighbors")
+
+
+@query
+def reloaded_model_scores(v: Views) -> DataFrame:
+    """Scores of a classifier that was saved and loaded again."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    t = v.training()
+    path = scratch_path(v.spark, "model")
+    mc.fit_classifier("naive_bayes", t, feature_args=WORDS).write().overwrite().save(path)
+    raw = vector_to_array("rawPrediction")
+    return PipelineModel.load(path).transform(t).select(
+        "app_id", F.round(raw[0], 6).alias("score_0"), F.round(raw[1], 6).alias("score_1"),
+        integer("prediction", "predicted_label"),
+    )
+
+
+@query
+def margin_curve(v: Views) -> DataFrame:
+    """Precision and recall along the margin of a classifier without probabilities."""
+    train, test = split(v)
+    scored = mc.predict(mc.fit_classifier("sgd_hinge", train), test)
+    return ev.precision_recall_curve(scored.select(F.col("treated").alias("label"), ev.score_column(scored).alias("score")))
 
 
 @query
@@ -732,24 +789,24 @@ def adaboost_scores(v: Views) -> DataFrame:
 @query
 def doc_vector_scores(v: Views) -> DataFrame:
     train, test = split(v)
-    model = mc.fit_classifier("svc_linear", train, features="doc_vectors", feature_args={"size": 50, "epochs": 2})
+    model = mc.fit_classifier("svc_linear", train, features="doc_vectors")
     return mc.predict(model, test).select("app_id", "treated", "margin", "`0`", "`1`", "predicted_label")
 
 
 @query
 def model_comparison(v: Views) -> DataFrame:
     train, test = split(v)
-    return mc.compare_models(train, test, model_args=QUICK)
+    return mc.compare_models(train, test)
 
 
 @query
 def tuning_search(v: Views) -> DataFrame:
     train, _ = split(v)
-    return random_search(train, n_iter=2, folds=2, landmarks=64)
+    return random_search(train, n_iter=2)
 
 
 def issued_model(v: Views):
-    return mc.fit_classifier("svc_linear", v.training(), feature_args={"max_n": 1})
+    return mc.fit_classifier("svc_linear", v.training())
 
 
 @query
@@ -767,8 +824,8 @@ def score_application_claims(v: Views) -> DataFrame:
 
 @query
 def lime_explain(v: Views) -> DataFrame:
-    model = mc.fit_classifier("logistic_regression", v.training(), feature_args=WORDS)
-    return ex.explain(v.training(), model, "app_id", size=8, masks=250)
+    model = mc.fit_classifier("logistic_regression", v.training())
+    return ex.explain(v.training(), model, "app_id", size=100)
 
 
 def labelled_lines(v: Views) -> DataFrame:

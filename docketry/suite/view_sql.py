@@ -190,7 +190,7 @@ VIEWS = {
               WHERE df >= 10 AND df <= 0.5 * n)""",
     "split": """
         SELECT *, CAST(row_number() OVER (PARTITION BY treated
-                    ORDER BY ((app_id * 2654435761) % 4294967296 + 0.5) / 4294967296.0, app_id)
+                    ORDER BY (((app_id % 2147483648 + 2147483648) % 2147483648 * 2654435761) % 4294967296 + 0.5) / 4294967296.0, app_id)
                   <= ceil(0.15 * count(*) OVER (PARTITION BY treated)) AS INTEGER) AS is_test
         FROM training""",
 }

@@ -116,10 +116,10 @@ def test_label_follows_margin_not_probability(spark):
     assert row["prediction"] == 1.0 and row["p"] < 0.5
 
 
-def test_nearest_in_blocks_equals_brute_force(corpus):
+def test_nearest_equals_brute_force(corpus):
     rows, df, train, test = corpus
     vectors = fit_in_order(tfidf_stages(**ARGS), train)
-    near = nb.nearest(vectors.transform(train), vectors.transform(test), "app_id", "treated", k=5, block_rows=17)
+    near = nb.nearest(vectors.transform(train), vectors.transform(test), "app_id", "treated", k=5)
     got = {}
     for r in near.orderBy("app_id", "rank").collect():
         got.setdefault(r["app_id"], []).append(r["neighbour"])

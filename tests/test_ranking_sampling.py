@@ -90,3 +90,26 @@ def test_funnel_counts(spark):
     out = [(r["n_rows"], r["n_ids"]) for r in ct.funnel(df, "id", [("a", F.col("a") == 1), ("b", F.col("b") == 1)])
            .orderBy("step").collect()]
     assert out == [(3, 2), (2, 1)]
+
+
+def test_key_draws_take_any_integer(spark):
+    keys = [0, 1, 13_456_789_000, 3_474_701_533, 2**62, 2**63 - 1, -(2**63), -5, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [r["u"] for r in df.select(uniform_from_key("k").alias("u")).collect()]
+    assert got[-1] is None and all(0 < u < 1 for u in got[:-1])
+    assert got[1] == (2654435761 + 0.5) / 4294967296
+
+
+def test_weighted_draw_is_exact_with_many_claims(spark):
+    """2,000 claims of one application share hash and weight; ties go by application and claim."""
+    rows = [(13_456_789, c, 0.5) for c in range(2000)] + [(20_000_001 + i, 0, 0.25) for i in range(500)]
+    df = spark.createDataFrame(rows, "app_id long, claim_int int, w double")
+    drawn = sp.weighted_without_replacement(df, 700, "w", F.lit(0.5), ["app_id", "claim_int"], rows_per_block=100)
+    assert sorted((r["app_id"], r["claim_int"]) for r in drawn.collect()) == [(13_456_789, c) for c in range(700)]
+
+
+def test_clamped_years(spark):
+    df = spark.createDataFrame([(2010,), (2014,), (2016,)], "year int")
+    years = lambda low, high: sorted(r["year"] for r in ct.clamp_years(df, low, high).collect())
+    assert years(2000, 2014) == [2010, 2014] and years(2012, 2030) == [2014, 2016]
+    assert years(2020, 2030) == [2016] and years(1990, 2000) == [2010]
