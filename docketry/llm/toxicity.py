@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     blank = [r[3] for r in train if not r[1]]
     index = BlockMaxIndex.build(train, idf)
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    loo = sparse.repartition(tasks, "id").mapInArrow(_held_one_out(index, prior), "raw double, y int").collect()
+    loo = sparse.repartition(tasks, "id", "y").mapInArrow(_held_one_out(index, prior), "raw double, y int").collect()
     edges, values = isotonic(np.array([r["raw"] for r in loo]), np.array([r["y"] for r in loo], float), prior)
     return ToxicityModel(terms, index, prior, (sum(blank) + prior) / (len(blank) + 1), edges, values), found
 
