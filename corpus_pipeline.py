@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import mixing, packing, simhash, suffix_dedup
+from docketry.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from docketry.llm.common import landed
-from docketry.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,9 +16,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic leave; all others stay as they are."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    toxic = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("out_id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["out_id"]), "left_anti").select(COLUMNS)
+    return toxicity.drop_toxic(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,29 +80,35 @@ def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
 # --- the chosen terms of every text
 
 
-def _term_reader(terms: list[str]):
-    index = {t: i for i, t in enumerate(terms)}
+class _Terms:
+    """Chosen terms and their counts of a text; a worker remembers the words it has met."""
+
+    def __init__(self, terms: list[str]):
+        self.index = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+        tf: Counter = Counter()
+        for w, n in Counter(_words(text)).items():
+            hit = self.known.get(w)
+            if hit is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                hit = self.known[w] = [self.index[t] for t in terms_of(w) if t in self.index]
+            for i in hit:
+                tf[i] += n
+        at = sorted(tf)
+        return at, [tf[i] for i in at]
+
 
+def _term_reader(terms: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        of = _Terms(terms)
         for b in batches:
-            ids, tfs = [], []
-            for text in b.column("text").to_pylist():
-                tf: Counter = Counter()
-                for w, n in Counter(_words(text)).items():
-                    hit = known.get(w)
-                    if hit is None:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        hit = known[w] = [index[t] for t in terms_of(w) if t in index]
-                    for i in hit:
-                        tf[i] += n
-                at = sorted(tf)
-                ids.append(at)
-                tfs.append([tf[i] for i in at])
+            rows = [of(text) for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))],
-                names=["id", "terms", "tfs"])
+                [b.column("id"), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                 pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["id", "terms", "tfs"])
 
     return read
 
@@ -312,34 +318,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(terms, index, prior, (sum(blank) + prior) / (len(blank) + 1), edges, values), found
 
 
+class _Score:
+    """Score, nearest examples and cosines of a text's terms; equal terms are looked up once."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self.known: dict = {}
+
+    def __call__(self, terms: list[int], tfs: list[int]) -> tuple[float, list[int], list[float]]:
+        key = (tuple(terms), tuple(tfs))
+        hit = self.known.get(key)
+        if hit is None:
+            model = self.model
+            if not terms:
+                hit = (model.empty, [], [])
+            else:
+                raw, at, cos = _votes(model.index, model.prior, terms, tfs)
+                near = [(i, float(c)) for v, c in zip(at[:3], cos[:3]) for i in model.index.ids[v]][:3]
+                hit = (min(1.0, max(0.0, model.calibrated(raw))), [i for i, _ in near], [c for _, c in near])
+            if len(self.known) >= CACHE // 10:
+                self.known.clear()
+            self.known[key] = hit
+        return hit
+
+
 def _scorer(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        score = _Score(model)
         for b in batches:
-            scores, near, sims = [], [], []
-            for t, f in zip(b.column("terms").to_pylist(), b.column("tfs").to_pylist()):
-                key = (tuple(t), tuple(f))
-                hit = known.get(key)
-                if hit is None:
-                    if not t:
-                        hit = (model.empty, [], [])
-                    else:
-                        raw, at, cos = _votes(model.index, model.prior, t, f)
-                        near3 = [(i, float(c)) for v, c in zip(at[:3], cos[:3]) for i in model.index.ids[v]][:3]
-                        hit = (min(1.0, max(0.0, model.calibrated(raw))), [i for i, _ in near3], [c for _, c in near3])
-                    if len(known) >= CACHE // 10:
-                        known.clear()
-                    known[key] = hit
-                scores.append(hit[0])
-                near.append(hit[1])
-                sims.append(hit[2])
+            rows = [score(t, f) for t, f in zip(b.column("terms").to_pylist(), b.column("tfs").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())),
-                 pa.array(sims, pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
+                [b.column("id"), pa.array([r[0] for r in rows], pa.float64()),
+                 pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                 pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["id", "score", "evidence", "cosines"])
 
     return run
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns; cases as in ``toxicity``.
+
+    Rows are scored where they are read: no text is exchanged and no verdict joined.
+    """
+    model, _ = fit(docs, labels, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, score = _Terms(model.terms), _Score(model)
+        for b in batches:
+            yield b.filter(pa.array([score(*of(t))[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence, cosines)`` of every row.
