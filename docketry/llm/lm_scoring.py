@@ -2,7 +2,8 @@
 
 Words are hashed to ``BUCKETS`` ids; the ids form ``CLASSES`` classes (frequent
 ids alone, the others dealt out). The network gives P(class | two words on each
-side), corpus counts give P(id | class); their logarithms add up over a text
+side) from the ids of these words, each with a row for either side of its own
+added to its class's, corpus counts give P(id | class); their logarithms add up over a text
 (pseudo-log-likelihood, Wang and Cho 2019; Salazar et al. 2020).
 """
 
@@ -26,11 +27,13 @@ OWN = 64  # ids that are classes of their own
 SIDE = 2  # words seen on each side
 HIDDEN = 32
 ROUNDS = 3  # passes of local training and averaging
-STRIDE = 16  # every 16th position of every text is trained on in a round, another offset each time
 RATE = 0.3
 BATCH = 512
 SLICE = 8192  # tokens scored at once
-MERGE = 64  # partial sums that reach the driver
+MERGE = 64  # groups of tasks that are averaged first
+PARTS = 64  # of the word rows, averaged apart
+WORDS = BUCKETS + 1  # word rows of a side; the last one is the edge of a text
+WORD_SQUARES = 1e-6  # Adagrad's start for word rows, low as most words are in few batches
 
 
 # --- encoding and counts
@@ -87,40 +90,53 @@ def within_class(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """tanh(sum of one row per neighbour + b) @ out + bias."""
+    """tanh(sum of the class row and the word row of each neighbour + b) @ out + bias."""
 
     rows: np.ndarray  # (2 * SIDE, CLASSES, HIDDEN)
     b: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    words: np.ndarray  # (2 * WORDS, HIDDEN), left and right of a position, zero until trained
 
     @staticmethod
     def start(class_counts: np.ndarray) -> Network:
         rng = np.random.default_rng(7)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         bias = np.log((class_counts + 1.0) / (class_counts + 1.0).sum()).astype(np.float32)
-        return Network(small(2 * SIDE, CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), bias)
+        return Network(small(2 * SIDE, CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), bias,
+                       np.zeros((2 * WORDS, HIDDEN), np.float32))
 
-    def flat(self) -> np.ndarray:
+    def dense(self) -> np.ndarray:
+        """All but the word rows."""
         return np.concatenate([x.ravel() for x in (self.rows, self.b, self.out, self.bias)])
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate((self.dense(), self.words.ravel()))
+
+    def sent(self) -> tuple[np.ndarray, np.ndarray]:
+        """What goes to the tasks, word rows at half the bytes."""
+        return self.dense(), self.words.astype(np.float16).ravel()
+
     @staticmethod
     def of(flat: np.ndarray) -> Network:
         flat = flat.astype(np.float32)
-        cut = np.cumsum([2 * SIDE * CLASSES * HIDDEN, HIDDEN, HIDDEN * CLASSES])
-        rows, b, out, bias = np.split(flat, cut)
+        cut = np.cumsum([2 * SIDE * CLASSES * HIDDEN, HIDDEN, HIDDEN * CLASSES, CLASSES])
+        rows, b, out, bias, words = np.split(flat, cut)
         return Network(rows.reshape(2 * SIDE, CLASSES, HIDDEN).copy(), b.copy(),
-                       out.reshape(HIDDEN, CLASSES).copy(), bias.copy())
+                       out.reshape(HIDDEN, CLASSES).copy(), bias.copy(), words.reshape(-1, HIDDEN).copy())
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
+    def hidden(self, context: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
         h = self.rows[0][context[:, 0]]
         for k in range(1, 2 * SIDE):
-            h = h + self.rows[k][context[:, k]]
+            h += self.rows[k][context[:, k]]
+        if near is not None:
+            for k in range(2 * SIDE):
+                h += self.words[near[:, k]]
         return np.tanh(h + self.b)
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(target class | neighbours) of each position."""
-        logits = self.hidden(context) @ self.out + self.bias
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+        """log P(target class | neighbours) of each position; ``near`` are the word rows of the neighbours."""
+        logits = self.hidden(context, near) @ self.out + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[np.arange(len(target)), target].astype(np.float64)
         return chosen - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
@@ -133,16 +149,26 @@ def contexts(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + k] for k in steps], axis=1)
 
 
+def neighbours(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Word rows of the words around each position."""
+    edge = np.full(SIDE, BUCKETS, np.int32)
+    padded = np.concatenate((edge, codes.astype(np.int32), edge))
+    steps = [k for k in range(2 * SIDE + 1) if k != SIDE]
+    return np.stack([padded[at + k] + np.int32(i // SIDE * WORDS) for i, k in enumerate(steps)], axis=1)
+
+
 class _Trainer:
     """Adagrad over mini-batches, local to a task."""
 
     def __init__(self, net: Network):
         self.net, self.seen = net, 0
         self.squares = [np.full_like(x, 1e-2) for x in (net.rows, net.b, net.out, net.bias)]
+        self.word_squares = np.full_like(net.words, WORD_SQUARES)
+        self.met = np.zeros(len(net.words), np.int64)  # how often each word row was met
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+    def step(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None) -> None:
         net, n = self.net, np.float32(len(target))
-        h = net.hidden(context)
+        h = net.hidden(context, near)
         p = h @ net.out + net.bias
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
@@ -158,59 +184,101 @@ class _Trainer:
                            (grad, back.sum(axis=0), h.T @ p, p.sum(axis=0))):
             s += g * g
             x -= RATE * g / np.sqrt(s)
+        if near is not None:
+            self._word_step(near, back)
         self.seen += len(target)
 
+    def _word_step(self, near: np.ndarray, back: np.ndarray) -> None:
+        ids = near.T.ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        g, rows = np.add.reduceat(back[order % len(back)], starts), ids[starts]
+        self.met[rows] += np.diff(starts, append=len(ids))
+        s = self.word_squares[rows] + g * g
+        self.word_squares[rows] = s
+        self.net.words[rows] -= RATE * g / np.sqrt(s)
+
+
+LOCAL = "part long, slot long, first long, ids binary, weights binary, values binary"
+
+
+def _local_training(sent: tuple[np.ndarray, np.ndarray], classes: np.ndarray, offset: int, rounds: int):
+    """Trains on every ``rounds``-th position of each text, so that ``rounds`` offsets meet every position once."""
 
-def _local_training(flat: np.ndarray, classes: np.ndarray, offset: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, ctx, tgt, held = _Trainer(Network.of(flat)), [], [], 0
-        first = None
+        trainer, held, n, first = _Trainer(Network.of(np.concatenate(sent))), [], 0, None
         for b in batches:
-            for doc, codes in zip(b.column("id").to_pylist(), b.column("codes").to_pylist()):
+            for doc, raw in zip(b.column("id").to_pylist(), b.column("codes").to_pylist()):
                 first = doc if first is None else first
-                c = classes[np.frombuffer(codes, np.uint16)]
-                at = np.arange((offset + (doc or 0)) % STRIDE, len(c), STRIDE)
+                codes = np.frombuffer(raw, np.uint16)
+                c = classes[codes]
+                at = np.arange((offset + (doc or 0)) % rounds, len(c), rounds)
                 if len(at):
-                    ctx.append(contexts(c, at))
-                    tgt.append(c[at])
-                    held += len(at)
-                while held >= BATCH:
-                    context, target = np.concatenate(ctx), np.concatenate(tgt)
-                    trainer.step(context[:BATCH], target[:BATCH])
-                    ctx, tgt, held = [context[BATCH:]], [target[BATCH:]], held - BATCH
-        if held:
-            trainer.step(np.concatenate(ctx), np.concatenate(tgt))
+                    held.append((contexts(c, at), c[at], neighbours(codes, at)))
+                    n += len(at)
+                if n >= BATCH:
+                    context, target, near = map(np.concatenate, zip(*held))
+                    for low in range(0, n - BATCH + 1, BATCH):
+                        part = slice(low, low + BATCH)
+                        trainer.step(context[part], target[part], near[part])
+                    low += BATCH
+                    held, n = [(context[low:], target[low:], near[low:])], n - low
+        if n:
+            trainer.step(*map(np.concatenate, zip(*held)))
         if trainer.seen:
-            yield pa.RecordBatch.from_pydict({
-                "slot": pa.array([zlib.crc32(str(first).encode()) % MERGE], pa.int64()),
-                "first": pa.array([first], pa.int64()), "n": pa.array([trainer.seen], pa.int64()),
-                "flat": pa.array([trainer.net.flat().tobytes()], pa.binary())})
+            slot, met = zlib.crc32(str(first).encode()) % MERGE, np.flatnonzero(trainer.met)
+            rows = [(-1, np.zeros(1, np.int64), np.array([trainer.seen]), trainer.net.dense())]
+            for part in range(PARTS):
+                ids = met[met % PARTS == part]
+                if len(ids):
+                    rows.append((part, ids, trainer.met[ids], trainer.net.words[ids].astype(np.float16)))
+            for part, *arrays in rows:
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part], pa.int64()), "slot": pa.array([slot], pa.int64()),
+                    "first": pa.array([first], pa.int64()),
+                    **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("ids", "weights", "values"), arrays)}})
 
     return run
 
 
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, weights = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("ids", "weights"))
+    kind = np.float32 if rows["part"].iloc[0] < 0 else np.float16
+    return ids, weights, np.frombuffer(b"".join(rows["values"]), kind).reshape(len(ids), -1)
+
+
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["first", "n"], kind="stable")
-    total = sum(np.frombuffer(f, np.float32).astype(np.float64) * n for f, n in zip(rows["flat"], rows["n"]))
-    return pd.DataFrame({"slot": rows["slot"].iloc[:1], "n": [int(rows["n"].sum())], "sums": [total.tobytes()]})
+    """Mean of each id's values by their weights, with the weights' sum."""
+    rows = rows.sort_values(["first", "slot", "weights"], kind="stable")
+    ids, weights, values = _unpacked(rows)
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    total = np.add.reduceat(weights[order], starts)
+    sums = np.add.reduceat(values[order] * weights[order, None].astype(np.float64), starts)
+    means = (sums / total[:, None]).astype(values.dtype)
+    return rows.iloc[:1].assign(ids=ids[order][starts].tobytes(), weights=total.tobytes(), values=means.tobytes())
 
 
 def train(encoded: DataFrame, classes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """Rounds of local training on all texts; the weights of the tasks are averaged by the tokens they saw.
+    """Rounds of local training; together they meet every position of all texts once.
 
-    Partial sums are merged in MERGE groups, so the driver receives so many
-    rows of one network's size, however many tasks there are.
+    Weights of the tasks are averaged by the tokens they saw, word rows by how
+    often a task met them. Values are merged in MERGE groups, then in one row
+    for each of PARTS parts, so the driver receives one network, however many
+    tasks there are.
     """
     net = Network.start(np.bincount(classes, weights=counts, minlength=CLASSES))
     for r in range(rounds):
-        local = encoded.mapInArrow(_local_training(net.flat(), classes, r * 5),
-                                   "slot long, first long, n long, flat binary")
-        sums = local.groupBy("slot").applyInPandas(_merge, "slot long, n long, sums binary").collect()
-        if not sums:
-            break
-        sums = sorted(sums, key=lambda s: s["slot"])
-        total = sum(s["n"] for s in sums)
-        net = Network.of(sum(np.frombuffer(s["sums"], np.float64) for s in sums) / total)
+        local = encoded.mapInArrow(_local_training(net.sent(), classes, r, rounds), LOCAL)
+        merged = local.groupBy("part", "slot").applyInPandas(_merge, LOCAL)
+        rows = merged.groupBy("part").applyInPandas(_merge, LOCAL).toPandas()
+        if rows.empty:  # no words in this round
+            continue
+        dense, words = rows[rows["part"] < 0], rows[rows["part"] >= 0]
+        ids, _, values = _unpacked(words)
+        net.words[ids] = values
+        net = Network.of(np.concatenate((_unpacked(dense)[2].ravel(), net.words.ravel())))
     return net
 
 
@@ -219,12 +287,13 @@ def pseudo_likelihood(codes: np.ndarray, net: Network, classes: np.ndarray, inne
     c, total = classes[codes], 0.0
     for start in range(0, len(c), SLICE):
         at = np.arange(start, min(len(c), start + SLICE))
-        total += net.log_probabilities(contexts(c, at), c[at]).sum()
+        total += net.log_probabilities(contexts(c, at), c[at], neighbours(codes, at)).sum()
     return float(total + inner[codes].sum())
 
 
-def _scorer(net: Network, classes: np.ndarray, inner: np.ndarray):
+def _scorer(sent: tuple[np.ndarray, np.ndarray], classes: np.ndarray, inner: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network.of(np.concatenate(sent))
         for b in batches:
             codes = [np.frombuffer(c, np.uint16) for c in b.column("codes").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -247,7 +316,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = bucket_counts(encoded)
     classes = classes_of(counts)
     net = train(encoded, classes, counts)
-    rows = encoded.mapInArrow(_scorer(net, classes, within_class(counts, classes)),
+    rows = encoded.mapInArrow(_scorer(net.sent(), classes, within_class(counts, classes)),
                               "id long, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", "log_likelihood", mean.alias("per_token"))

@@ -1,6 +1,7 @@
 """Toxicity and LM scoring: exact search next to brute force, held-out accuracy, gradients, likelihoods."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,30 @@ def test_shuffled_text_scores_lower(spark):
     assert rows[900] < min(rows[i] for i in range(300))
 
 
+def test_every_position_is_a_target_once(monkeypatch):
+    met = []
+    step = lm_scoring._Trainer.step
+    monkeypatch.setattr(lm_scoring._Trainer, "step", lambda self, *a: (met.extend(a[1].tolist()), step(self, *a))[1])
+    classes = (np.arange(lm_scoring.BUCKETS) % lm_scoring.CLASSES).astype(np.uint8)
+    cuts = np.cumsum([1, 2, 5, 15, 16, 40])  # the class of a position tells which one it is
+    codes = [c.astype(np.uint16).tobytes() for c in np.split(np.arange(lm_scoring.CLASSES), cuts)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([4, None, 7, 1, -3, 2, 11]), "codes": pa.array(codes, pa.binary())})
+    net = lm_scoring.Network.start(np.ones(lm_scoring.CLASSES))
+    for r in range(lm_scoring.ROUNDS):
+        list(lm_scoring._local_training(net.sent(), classes, r, lm_scoring.ROUNDS)(iter([batch])))
+    assert sorted(met) == list(range(lm_scoring.CLASSES))
+
+
+def test_rare_words_tell_their_neighbours(spark):
+    """Each of 600 words has one partner; texts of wrong partners have the same words, and mostly the same classes."""
+    rng = np.random.default_rng(9)
+    text = lambda off: " ".join(f"left{k} right{(k + off) % 600}" for k in rng.integers(0, 600, 7))
+    docs = [(i, text(0)) for i in range(6000)] + [(10_000 + i, text(300 + i)) for i in range(50)]
+    rows = lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    right = np.mean([r["per_token"] for r in rows if r["doc_id"] < 10_000])
+    assert right > np.mean([r["per_token"] for r in rows if r["doc_id"] >= 10_000]) + 0.5
+
+
 def test_lm_odd_rows(odd, nothing):
     rows = lm_scoring.score(odd).collect()
     assert len(rows) == odd.count()
