@@ -60,36 +60,36 @@ def runs(pieces: list[str]) -> list[tuple[bytes, int, int]]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(h1, h2, id, span, again)``; span = first << 32 | behind last.
+    """``(h1, h2, id, tie, span, again)``; span = first << 32 | behind last.
 
     Repeats inside a task's portion are told apart before the exchange: they
     get ``again`` and a key of their own, so a passage of any frequency has one
     row of its hash for each portion.
     """
-    seen: dict[bytes, tuple[int, int]] = {}
-    rows: list[tuple[bytes, int, int, bool]] = []
+    seen: dict[bytes, tuple[int, int, int]] = {}
+    rows: list[tuple[bytes, int, int, int, bool]] = []
 
     def flush() -> pa.RecordBatch:
         h = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
-        ids, spans = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        again = np.array([r[3] for r in rows], bool)
+        ids, ties, spans = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        again = np.array([r[4] for r in rows], bool)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.where(again, ids * 0x5851F42D4C957F2D + spans * 0x14057B7EF767814F, h[:, 0])),
-             pa.array(np.where(again, -1, h[:, 1])), pa.array(ids), pa.array(spans), pa.array(again)],
-            names=["h1", "h2", "id", "span", "again"])
+            [pa.array(np.where(again, (ids ^ ties) * 0x5851F42D4C957F2D + spans * 0x14057B7EF767814F, h[:, 0])),
+             pa.array(np.where(again, -1, h[:, 1])), pa.array(ids), pa.array(ties), pa.array(spans),
+             pa.array(again)], names=["h1", "h2", "id", "tie", "span", "again"])
 
     for b in batches:
-        both = sorted(zip(b.column("id").to_pylist(), b.column("text").to_pylist()), key=lambda r: r[0])
-        for i, text in both:
+        both = sorted(zip(*[b.column(c).to_pylist() for c in ("id", "tie", "text")]), key=lambda r: r[:2])
+        for i, tie, text in both:
             for digest, first, behind in runs(sentences(text)):
-                held = seen.setdefault(digest, (i, first))
-                if held > (i, first):  # ids of a later batch may be smaller
-                    seen[digest] = (i, first)
-                    rows.append((digest, i, first << 32 | behind, False))
-                elif held == (i, first):
-                    rows.append((digest, i, first << 32 | behind, False))
+                held = seen.setdefault(digest, (i, tie, first))
+                if held > (i, tie, first):  # ids of a later batch may be smaller
+                    seen[digest] = (i, tie, first)
+                    rows.append((digest, i, tie, first << 32 | behind, False))
+                elif held == (i, tie, first):
+                    rows.append((digest, i, tie, first << 32 | behind, False))
                 else:
-                    rows.append((digest, i, first << 32 | behind, True))
+                    rows.append((digest, i, tie, first << 32 | behind, True))
             if len(rows) >= RUNS_AT_ONCE:
                 yield flush()
                 seen, rows = {}, []
@@ -97,11 +97,12 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
-    """``(id, span)`` of every run that also stands earlier: in a smaller id, or further left in the same text."""
-    hashed = rows.mapInArrow(_hashed, "h1 long, h2 long, id long, span long, again boolean")
-    place = F.struct("id", F.shiftright("span", 32))
+    """``(id, tie, span)`` of every run that also stands earlier: in a smaller (id, tie), or further left in the same text."""
+    hashed = rows.mapInArrow(_hashed, "h1 long, h2 long, id long, tie long, span long, again boolean")
+    place = F.struct("id", "tie", F.shiftright("span", 32))
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
-    return hashed.withColumn("first", first).filter(F.col("again") | (place > F.col("first"))).select("id", "span")
+    return hashed.withColumn("first", first).filter(F.col("again") | (place > F.col("first"))).select(
+        "id", "tie", "span")
 
 
 def covered(spans: list[int] | None, n: int) -> np.ndarray:
@@ -136,13 +137,14 @@ def remove_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col:
     doc_id, or further left in the same text); the first occurrence stays, and
     the rest of the text is kept to the letter. n_spans counts the maximal
     stretches removed. Null texts are empty and stay whole, as do texts of one
-    sentence; a null id comes before all others; rows of the same id count as
-    one document; an empty table gives an empty result.
+    sentence; a null id comes before all others; rows of the same id and text
+    count as one document, different texts of an id (or without one) come in the
+    order of a hash; an empty table gives an empty result.
     """
     begin(docs)
     rows = view(docs, doc_id=id_col, text=text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"),
-        "text")
-    spans = repeated_runs(rows).groupBy("id").agg(F.collect_set("span").alias("spans"))
-    return rows.join(spans, "id", "left").select("doc_id", "text", "spans").mapInArrow(
+        F.xxhash64("text").alias("tie"), "text")
+    spans = repeated_runs(rows).groupBy("id", "tie").agg(F.collect_set("span").alias("spans"))
+    return rows.join(spans, ["id", "tie"], "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, "doc_id long, kept_text string, n_sentences long, n_removed long, n_spans long")

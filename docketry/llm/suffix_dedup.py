@@ -34,6 +34,7 @@ ANCHORS_AT_ONCE = 1 << 18  # anchors whose hashes a task counts before it writes
 SUFFIXES_AT_ONCE = 1 << 16  # suffixes of a run
 PART_BYTES = 4 << 20  # input bytes for each part of the merge
 NO_ID = -(1 << 63)  # stands for a null id inside
+OWN = np.dtype([("id", np.int64), ("tie", np.int64)])  # a document: its id and a hash of its text
 
 # Odd multipliers of the hash.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -85,7 +86,7 @@ def _raw(text: str | None) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(key, id, at, n)``: a hash seen once here, or a suffix already known to be repeated under a key of its own.
+    """``(key, id, tie, at, n)``: a hash seen once here, or a suffix already known to be repeated under a key of its own.
 
     Counting before the exchange leaves one row of a hash for each task's
     portion, however often a passage occurs.
@@ -93,24 +94,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        ids = np.concatenate([np.full(len(a), i, np.int64) for i, a, _ in held] or [np.empty(0, np.int64)])
+        ids = np.concatenate([np.full(len(a), np.array(i, OWN)) for i, a, _ in held] or [np.empty(0, OWN)])
         at = np.concatenate([a for _, a, _ in held] or [np.empty(0, np.int64)])
         h = np.concatenate([x for _, _, x in held] or [np.empty(0, np.uint64)])
         _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         n = np.minimum(n, 2)[back]
         extra = np.ones(len(h), bool)
         extra[first] = False
-        own = _mixed(ids.view(np.uint64), at.view(np.uint64), h)
+        own = _mixed(ids["id"].view(np.uint64) ^ ids["tie"].view(np.uint64), at.view(np.uint64), h)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.where(extra, own, h).view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)),
-             pa.array(n.astype(np.int8))], names=["key", "id", "at", "n"])
+            [pa.array(np.where(extra, own, h).view(np.int64)), pa.array(ids["id"]), pa.array(ids["tie"]),
+             pa.array(at.astype(np.int32)), pa.array(n.astype(np.int8))], names=["key", "id", "tie", "at", "n"])
 
     total = 0
     for b in batches:
-        for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+        for i, tie, text in zip(*[b.column(c).to_pylist() for c in ("id", "tie", "text")]):
             a, h = anchors(_raw(text))
             if len(a):
-                held.append((i, a, h))
+                held.append(((i, tie), a, h))
                 total += len(a)
             if total >= ANCHORS_AT_ONCE:
                 yield flush()
@@ -144,7 +145,7 @@ def _sorted_by(rows: np.ndarray) -> np.ndarray:
 def _earlier(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rank of each suffix by document, then start."""
     rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((at, ids))] = np.arange(len(ids))
+    rank[np.lexsort((at, ids["tie"], ids["id"]))] = np.arange(len(ids))
     return rank
 
 
@@ -193,7 +194,7 @@ def _runs(parts: int):
                     out[name].append(p if name == "part" else packed(values[name]))
 
             if done.any():  # spans travel along: ids and bounds, no suffix
-                p = int((ids.sum() + at.sum()) % parts)
+                p = int((ids["id"].sum() + ids["tie"].sum() + at.sum()) % parts)
                 add(p, ids=ids[done].tobytes(), at=spans[done].astype(np.int64).tobytes(), room=b"", common=b"",
                     tails=b"")
             kept = np.flatnonzero(keep)
@@ -211,13 +212,13 @@ def _runs(parts: int):
 
         total = 0
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("id", "text", "starts")]
-            for i, text, starts in zip(*columns):
+            columns = [b.column(c).to_pylist() for c in ("id", "tie", "text", "starts")]
+            for i, tie, text, starts in zip(*columns):
                 raw, starts = _raw(text), np.unique(np.array(starts, np.int64))
                 starts = starts[starts < len(raw)]
                 for s in range(0, len(starts), SUFFIXES_AT_ONCE):
                     at = starts[s:s + SUFFIXES_AT_ONCE]
-                    held.append((np.full(len(at), i, np.int64), at, suffix_rows(raw, at),
+                    held.append((np.full(len(at), np.array((i, tie), OWN)), at, suffix_rows(raw, at),
                                  np.minimum(len(raw) - at, WIDTH)))
                     total += len(at)
                     if total >= SUFFIXES_AT_ONCE:
@@ -338,7 +339,7 @@ def _merge_part(part: pa.Table) -> pa.Table:
             runs.append(r)
         else:
             spans = np.frombuffer(r["at"], np.int64).reshape(-1, 2)
-            ids.append(np.frombuffer(r["ids"], np.int64))
+            ids.append(np.frombuffer(r["ids"], OWN))
             starts.append(spans[:, 0])
             ends.append(spans[:, 1])
     if runs:
@@ -352,12 +353,12 @@ def _merge_part(part: pa.Table) -> pa.Table:
         common = np.array(common)
         rows = np.frombuffer(b"".join(row for r in runs for _, row in decoded(r["common"], r["tails"])),
                              np.uint8).reshape(-1, ROW)
-        all_ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in runs])
+        all_ids = np.concatenate([np.frombuffer(r["ids"], OWN) for r in runs])
         at = np.concatenate([np.frombuffer(r["at"], np.int64) for r in runs])
         room = np.concatenate([np.frombuffer(r["room"], np.uint8).reshape(-1, 2) for r in runs]).astype(np.int64)
         new = np.zeros(len(order), bool)  # the same suffix twice: a row given twice
-        by_key = np.lexsort((at, all_ids))
-        new[by_key] = np.concatenate(([True], (np.diff(all_ids[by_key]) != 0) | (np.diff(at[by_key]) != 0)))
+        by_key = np.lexsort((at, all_ids["tie"], all_ids["id"]))
+        new[by_key] = np.concatenate(([True], (all_ids[by_key[1:]] != all_ids[by_key[:-1]]) | (np.diff(at[by_key]) != 0)))
         common = _without(common, new[place])
         place = place[new[place]]
         found = repeats(all_ids[place], at[place], room[place], common, rows[place])
@@ -365,7 +366,8 @@ def _merge_part(part: pa.Table) -> pa.Table:
             total.append(x)
     empty = np.empty(0, np.int64)
     bounds = (np.concatenate(starts or [empty]) << 32) | np.concatenate(ends or [empty])
-    return pa.table({"id": np.concatenate(ids or [empty]), "span": bounds})
+    ids = np.concatenate(ids or [np.empty(0, OWN)])
+    return pa.table({"id": np.ascontiguousarray(ids["id"]), "tie": np.ascontiguousarray(ids["tie"]), "span": bounds})
 
 
 def _without(common: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -413,13 +415,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame, parts: int) -> DataFrame:
-    """``(id, span)`` of all bytes to remove, span = start << 32 | end; ``rows`` are ``(id, text)``, id never null."""
-    found = rows.mapInArrow(_anchor_rows, "key long, id long, at int, n byte")
+    """``(id, tie, span)`` of all bytes to remove, span = start << 32 | end; ``rows`` are ``(id, tie, text)``, no key null."""
+    found = rows.mapInArrow(_anchor_rows, "key long, id long, tie long, at int, n byte")
     seen = F.sum("n").over(Window.partitionBy("key"))
-    again = found.withColumn("seen", seen).filter("seen > 1").groupBy("id").agg(F.collect_list("at").alias("starts"))
+    again = found.withColumn("seen", seen).filter("seen > 1").groupBy("id", "tie").agg(
+        F.collect_list("at").alias("starts"))
     # all columns go along: this exchange of the texts is then the very one that remove_repeats joins once more
-    runs = rows.join(again, "id").mapInArrow(_runs(parts), RUN)
-    return runs.groupBy("part").applyInArrow(_merge_part, "id long, span long")
+    runs = rows.join(again, ["id", "tie"]).mapInArrow(_runs(parts), RUN)
+    return runs.groupBy("part").applyInArrow(_merge_part, "id long, tie long, span long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -429,16 +432,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a 100-byte string over it also starts earlier: in a smaller
     doc_id, or further left in the same document, judged on the input. The kept
     text leaves out characters of which only some bytes are kept. Null texts
-    are empty; a null id comes before all others; rows of the same id count as
-    one document, so repeated rows all stay; an empty table gives an empty
-    result. Texts are up to 4 GB.
+    are empty; a null id comes before all others; rows of the same id and text
+    count as one document, so repeated rows all stay, and different texts of an
+    id (or without one) come in the order of a hash; an empty table gives an
+    empty result. Texts are up to 4 GB.
     """
     begin(docs)
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    rows = docs.select(own.alias("id"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in keep],
+    tie = F.xxhash64(F.col(f"`{text_col}`"))
+    rows = docs.select(own.alias("id"), tie.alias("tie"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in keep],
                        F.col(f"`{text_col}`").alias("text"))
-    spans = repeated_spans(rows, parts_for(docs, PART_BYTES)).groupBy("id").agg(F.collect_set("span").alias("spans"))
-    joined = rows.join(spans, "id", "left").select("id", *[f"k_{c}" for c in keep], "text", "spans")
+    spans = repeated_spans(rows, parts_for(docs, PART_BYTES)).groupBy("id", "tie").agg(
+        F.collect_set("span").alias("spans"))
+    joined = rows.join(spans, ["id", "tie"], "left").select("id", *[f"k_{c}" for c in keep], "text", "spans")
     schema = ", ".join(["id long", *[f"`{c}` {kind}" for c, kind in rows.dtypes if c.startswith("k_")]])
     out = joined.mapInArrow(_cut, schema + ", kept_text string, n_bytes long, n_removed long, n_spans long,"
                                            " kept_sha256 string")

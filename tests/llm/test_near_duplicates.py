@@ -189,3 +189,19 @@ def test_sentence_dedup_odd_rows(odd, nothing):
     assert by[1]["kept_text"] == "" and by[1]["n_sentences"] == 0 and by[9]["n_removed"] == 0
     assert by[7]["n_removed"] == by[7]["n_sentences"]
     assert sentence_dedup.remove_repeated_sentences(nothing).collect() == []
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_cut_apart(spark):
+    """Where one text of an id repeats an earlier one, the others keep what stands at the same place."""
+    line = "This very line of the licence stands in several of the texts and is cut out of all but the first one here. "
+    line += "It has a second sentence of more than a dozen words, so that it is a run of its own in both ways. "
+    alone = [" ".join(f"{k}only{n}x{j}" for j in range(14)) + ". " for k in "abcdef" for n in range(4)]
+    texts = ["".join(alone[4 * k:4 * k + 4]) for k in range(6)]
+    rows = [(None, line + texts[0]), (None, line + texts[1]), (None, texts[2]), (7, texts[3]), (7, line + texts[4]),
+            (7, texts[5]), (7, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for out in (suffix_dedup.remove_repeats(df), sentence_dedup.remove_repeated_sentences(df)):
+        kept = [r["kept_text"] for r in out.collect()]
+        assert sum(line in k for k in kept) == 1 and len(kept) == len(rows)
+        for text, n in zip(texts, (1, 1, 1, 1, 1, 2)):
+            assert sum(text.strip()[1:] in k for k in kept) == n
