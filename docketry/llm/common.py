@@ -38,6 +38,13 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case and nothing else; pure ASCII takes the short way, where both are the same."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the frame's bytes; files give it without a job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
+    line_dedup,
     lm_scoring,
     mixing,
     packing,
@@ -85,6 +86,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_shared_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 LLM_ORACLE["op9_sharding"] = f"""
     WITH owners AS (SELECT [{", ".join(map(str, sharding.fill(sharding.shard_names())))}] AS o),
          slots AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
@@ -130,3 +137,14 @@ LLM_ORACLE["op1_sentence_dedup"] = f"""
            sha256(CASE WHEN count(*) FILTER (gone) = 0 THEN coalesce(any_value(d.text), '')
                        ELSE coalesce(string_agg(whole, '' ORDER BY sid) FILTER (NOT gone), '') END) AS kept_sha256
     FROM documents d LEFT JOIN edges USING (doc_id) GROUP BY d.doc_id"""
+
+LLM_ORACLE["op13_line_dedup"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    s AS (SELECT row_id, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM s),
+    gone AS (SELECT key FROM k WHERE length(key) >= {line_dedup.MIN_CHARS}
+             GROUP BY key HAVING count(DISTINCT row_id) >= {line_dedup.MIN_DOCS})
+    SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN gone USING (key) GROUP BY row_id, doc_id"""
