@@ -15,6 +15,7 @@ from docketry.llm import (
     sentence_dedup,
     sharding,
     simhash,
+    spelling,
     spotsigs,
     suffix_dedup,
     toxicity,
@@ -86,6 +87,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_shared_lines(table(spark, sf_dir, "documents"))
