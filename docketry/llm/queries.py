@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
+    collocation,
     line_dedup,
     lm_scoring,
     mixing,
@@ -92,6 +93,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_shared_lines(table(spark, sf_dir, "documents"))
@@ -154,3 +160,31 @@ LLM_ORACLE["op13_line_dedup"] = f"""
     SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone.key IS NULL), '')) AS kept_sha256
     FROM k LEFT JOIN gone USING (key) GROUP BY row_id, doc_id"""
+
+LLM_ORACLE["op12_collocations"] = f"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM pieces),
+    n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+    starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    grams AS (SELECT lang, ws, i, unnest(range(1, {collocation.MOST_WORDS + 1})) AS m FROM starts),
+    f AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM grams
+          WHERE i + m - 1 <= len(ws) GROUP BY 1, 2),
+    c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f
+          WHERE f >= {collocation.MIN_COUNT} AND contains(phrase, ' ')),
+    cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, len(ws))) AS k FROM c),
+    scored AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r,
+                      CAST((CAST({collocation.SCALE} AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+               FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+                         JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+    worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT lang, a, ws, unnest(range(1, len(ws) + 1)) AS i FROM c WHERE len(ws) > 2),
+    spans AS (SELECT lang, a, ws, i, unnest(range(2, len(ws))) AS m FROM longer),
+    covers AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longest FROM spans
+               WHERE i + m - 1 <= len(ws) GROUP BY 1, 2),
+    kept AS (SELECT worst.* FROM worst LEFT JOIN covers USING (lang, phrase)
+             WHERE longest IS NULL OR 100 * longest < {collocation.COVER} * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN n USING (lang)
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {collocation.TOP}"""
