@@ -26,8 +26,9 @@ MIN_COUNT = 10
 COVER = 50  # hundredths of a phrase's count that a longer one must reach to stand for it
 TOP = 2_000
 
-CHUNK = 1 << 21  # bytes of text that a task works on at once; a longer piece stays whole
-BLOCK = 1 << 23  # phrase occurrences that a task sums before it writes them
+CHUNK = 1 << 20  # bytes of text that a task works on at once; a longer piece stays whole
+BLOCK = 1 << 22  # phrase occurrences that a task sums before it writes them
+ROWS_AT_ONCE = 256  # of an Arrow batch that are Python strings together
 PART_BYTES = 16 << 20  # of the input, for each hash partition
 MOST_PARTS = 1 << 15
 KEY_BITS = 48  # of a phrase's hash in the first pass
@@ -54,7 +55,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         at = np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
         return data, at, list(langs)
 
-    for batch in batches:
+    some = (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+    for batch in some:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             data = text.encode("utf-8", "surrogatepass").translate(LOWER)
             done = 0
