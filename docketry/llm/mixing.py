@@ -13,7 +13,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all sizes
 CEILING = 2.0  # of a source's, and of a document's, own size
 BLOCK = 4096  # documents whose fractions are moved together
-ROWS = "key string, block long, row long, id long, size long, psi double, base long, target double, source_size long"
+# given tells a null id, which is 0 inside: a null among them would make pandas turn all ids into doubles
+ROWS = "key string, block long, row long, id long, given boolean, size long, psi double, base long, target double, source_size long"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -90,7 +91,7 @@ def land(sizes: list[int], psi: list[float]) -> list[float]:
 
 def _moved(last: bool):
     def move(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "id", "size"], kind="stable", na_position="first")
+        rows = rows.sort_values(["row", "given", "id", "size"], kind="stable")
         draws = ((rows["row"].to_numpy() & 0xFFFFFFFF) + 0.5) / 4294967296.0
         sizes = rows["size"].tolist()
         psi = flight(sizes, rows["psi"].tolist(), draws.tolist())
@@ -123,7 +124,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     largest = per.agg(F.max("n")).first()[0]
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     open_rows = sizes.join(per, "key").select(
-        "key", F.lit(0).cast("long").alias("block"), F.xxhash64(F.lit(seed), "id", "size").alias("row"), "id", "size",
+        "key", F.lit(0).cast("long").alias("block"), F.xxhash64(F.lit(seed), "id", "size").alias("row"),
+        F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.col("id").isNotNull().alias("given"), "size",
         F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0).alias("psi"),
         F.floor(ratio).cast("long").alias("base"), F.col("target"), F.col("source_size"), "n")
     done = None
@@ -144,4 +146,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         open_rows = moved.filter("psi not in (0.0, 1.0)")
         left, level = -(-left // (BLOCK // 2)), level + 1
     taken = (F.col("size") * (F.col("base") + F.col("psi").cast("long"))).cast("long")
-    return done.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+    return done.select(F.when(F.col("given"), F.col("id")).alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))

@@ -56,12 +56,12 @@ def best_fit(sizes: list[int], lanes: list, clusters: list, capacity: int) -> li
 
 def _packer(capacity: int):
     def pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "id", "piece", "cluster"], ascending=[False, True, True, True],
-                                kind="stable")
+        rows = rows.sort_values(["n_words", "given", "id", "piece", "cluster"],
+                                ascending=[False, False, True, True, True], kind="stable")
         lanes = [None if pd.isna(x) else x for x in rows["lane"]]
         clusters = [None if pd.isna(x) else x for x in rows["cluster"]]
         bins = best_fit(rows["n_words"].tolist(), lanes, clusters, capacity)
-        return pd.DataFrame({"id": rows["id"], "piece": rows["piece"], "n_words": rows["n_words"],
+        return pd.DataFrame({"id": rows["id"], "given": rows["given"], "piece": rows["piece"], "n_words": rows["n_words"],
                              "bin_id": rows["block"].to_numpy() * (1 << 32) + bins})
 
     return pack_block
@@ -107,7 +107,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.concat_ws("|", F.pmod(F.xxhash64("id", F.lit("lane")), lanes), "source").alias("lane"), "source",
         F.pmod(spread, F.lit(blocks)).alias("block"))
     cut = cut.withColumn("lane", F.when(F.col("source").isNotNull(), F.col("lane"))).drop("source")
-    packed = cut.groupBy("block").applyInPandas(_packer(capacity), "id long, piece int, n_words long, bin_id long")
+    # no null among the ids that pandas sees: it would make doubles of all of them
+    cut = cut.withColumn("given", F.col("id").isNotNull()).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(0)))
+    packed = cut.groupBy("block").applyInPandas(
+        _packer(capacity), "id long, given boolean, piece int, n_words long, bin_id long")
+    packed = packed.select(F.when(F.col("given"), F.col("id")).alias("id"), "piece", "n_words", "bin_id")
     empty = rows.filter("size = 0").select("id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("n_words"),
                                            F.lit(None).cast("long").alias("bin_id"))
     return packed.union(empty).select(

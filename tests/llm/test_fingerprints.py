@@ -170,3 +170,15 @@ def test_vectors_empty(spark):
     twice = vector_dedup.near_vectors(vectors(spark, [(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (None, [2.0, 4.0], 1)]))
     rows = twice.orderBy(F.col("vec_id").asc_nulls_first()).collect()
     assert [r["n_links"] for r in rows] == [2, 2, 2] and rows[0]["kept"]
+
+
+def test_vectors_with_null_and_shared_ids(spark):
+    """Rows without an id are vectors of their own, as are those of an id given under two labels."""
+    rows = [(10, [1.0, 0.0, 0.0], "a"), (None, [1.0, 0.05, 0.0], "a"), (None, [0.0, 1.0, 0.0], "a"), (20, [0.0, 1.0, 0.05], "a"),
+            (30, [0.0, 1.0, 0.1], "a"), (5, [0.0, 0.0, 1.0], "b"), (5, [0.0, 0.0, 1.0], "c"), (40, [0.0, 0.05, 1.0], "b"),
+            (50, [0.0, 0.05, 1.0], "c"), (60, [0.0, 0.1, 1.0], "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(df).collect()), key=str)
+    want = [(10, 1, None), (None, 1, None), (None, 2, None), (20, 2, None), (30, 2, None), (5, 1, 5), (5, 2, 5), (40, 1, 5),
+            (50, 2, 5), (60, 2, 5)]
+    assert got == sorted(want, key=str)

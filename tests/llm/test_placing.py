@@ -182,3 +182,15 @@ def test_pack_odd_rows(odd, nothing):
     assert len(by[9]) == 2 and by[9][0]["bin_id"] != by[9][1]["bin_id"]
     assert sum(r["n_words"] for r in by[6]) == 5 * 20_000
     assert packing.pack(nothing).collect() == []
+
+
+BIG = [2**53 + 1, 2**53 + 3, 2**62 + 1]
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids beyond what a double holds come back as they went in."""
+    rows = [(i, f"words of text {i} " * 5, "s") for i in [*BIG, None, 5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    want = sorted([*BIG, None, 5], key=str)
+    assert sorted((r["doc_id"] for r in packing.pack(df).collect()), key=str) == want
+    assert sorted((r["doc_id"] for r in mixing.mix(df).collect()), key=str) == want
