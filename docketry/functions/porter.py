@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The suffix tables of steps 2, 3 and 4 of the paper.
 STEP2 = [
@@ -114,24 +112,114 @@ def stem(word: str) -> str:
     return _tidy(_drop_step4(_replace(_replace(word, STEP2), STEP3)))
 
 
-@F.pandas_udf(T.StringType())
-def _stem_words(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
+def _ends(word: Column, *suffixes: str) -> Column:
+    out = F.endswith(word, F.lit(suffixes[0]))
+    for suffix in suffixes[1:]:
+        out = out | F.endswith(word, F.lit(suffix))
+    return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_lists(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: [stem(t) for t in ts], na_action="ignore")
+def _cut(word: Column, n: int) -> Column:
+    return F.left(word, F.length(word) - n)
 
 
-def stem_word(c: Column | str) -> Column:
-    """For columns that already hold distinct terms."""
-    return _stem_words(c)
+def _shape_of(word: Column) -> Column:
+    """``_shape`` of a column. A y is a consonant first or behind a vowel; in a run of y the kinds alternate."""
+    letters = F.translate(F.regexp_replace(word, "[^aeiouy]", "c"), "aeiou", "vvvvv")
+    plain = F.regexp_replace(F.regexp_replace(letters, "^y", "c"), "vy", "vc")  # the first of a run, unless behind a consonant
+    paired = F.regexp_replace(plain, r"(?:(?<=c)|\G(?!^))yy", "vc")
+    return F.when(F.instr(word, "y") > 0, F.regexp_replace(paired, "(?<=c)y", "v")).otherwise(letters)
+
+
+def _more_than(word: Column, m: int) -> Column:
+    """Measure above ``m``."""
+    return F.contains(_shape_of(word), F.lit("vc")) if m == 0 else F.rlike(_shape_of(word), F.lit("vc.*" * m + "vc"))
+
+
+def _vowel_in(word: Column) -> Column:
+    return F.contains(_shape_of(word), F.lit("v"))
+
+
+def _short_end_of(word: Column) -> Column:
+    return F.endswith(_shape_of(word), F.lit("cvc")) & ~F.right(word, F.lit(1)).isin("w", "x", "y")
+
+
+def _by_table(word: Column, table) -> Column:
+    """The longest suffix that fits decides; it is replaced if the measure of what stands before it is above 0."""
+    last = sorted({suffix[-2:] for suffix, _ in table})
+    out = None
+    for suffix, new in sorted(table, key=lambda row: -len(row[0])):
+        head = _cut(word, len(suffix))
+        done = F.when(_more_than(head, 0), F.concat(head, F.lit(new))).otherwise(word)
+        out = F.when(_ends(word, suffix), done) if out is None else out.when(_ends(word, suffix), done)
+    return F.when(F.right(word, F.lit(2)).isin(last), out.otherwise(word)).otherwise(word)
+
+
+def _without_plural(t: Column) -> Column:
+    return F.when(_ends(t, "sses", "ies"), _cut(t, 2)).when(_ends(t, "s") & ~_ends(t, "ss"), _cut(t, 1)).otherwise(t)
+
+
+def _without_past(t: Column) -> Column:
+    """The word and whether an ending went that wants a repair."""
+    def pair(word, open_end):
+        return F.struct(word.alias("w"), F.lit(open_end).alias("open"))
+
+    out = F.when(_ends(t, "eed"), F.when(_more_than(_cut(t, 3), 0), pair(_cut(t, 1), False)).otherwise(pair(t, False)))
+    for suffix in ("ed", "ing"):
+        head = _cut(t, len(suffix))
+        out = out.when(_ends(t, suffix), F.when(_vowel_in(head), pair(head, True)).otherwise(pair(t, False)))
+    return out.otherwise(pair(t, False))
+
+
+def _repaired(t: Column) -> Column:
+    w = t["w"]
+    twice = (F.length(w) > 1) & (F.right(w, F.lit(1)) == F.substring(w, -2, 1)) & F.endswith(_shape_of(w), F.lit("c"))
+    one = _more_than(w, 0) & ~_more_than(w, 1)
+    fixed = F.when(_ends(w, "at", "bl", "iz"), F.concat(w, F.lit("e"))).when(
+        twice & ~_ends(w, "l", "s", "z"), _cut(w, 1)).when(one & _short_end_of(w), F.concat(w, F.lit("e"))).otherwise(w)
+    return F.when(t["open"], fixed).otherwise(w)
+
+
+def _y_to_i(t: Column) -> Column:
+    return F.when(_ends(t, "y") & _vowel_in(_cut(t, 1)), F.concat(_cut(t, 1), F.lit("i"))).otherwise(t)
+
+
+def _without_step4(t: Column) -> Column:
+    out = None
+    for suffix in sorted(STEP4, key=len, reverse=True):
+        head = _cut(t, len(suffix))
+        fits = _more_than(head, 1) & _ends(head, "s", "t") if suffix == "ion" else _more_than(head, 1)
+        done = F.when(fits, head).otherwise(t)
+        out = F.when(_ends(t, suffix), done) if out is None else out.when(_ends(t, suffix), done)
+    return F.when(F.right(t, F.lit(1)).isin(sorted({x[-1] for x in STEP4})), out.otherwise(t)).otherwise(t)
+
+
+def _without_e(t: Column) -> Column:
+    head = _cut(t, 1)
+    return F.when(_ends(t, "e") & (_more_than(head, 1) | (_more_than(head, 0) & ~_short_end_of(head))), head).otherwise(t)
+
+
+def _without_double_l(t: Column) -> Column:
+    return F.when(_ends(t, "ll") & _more_than(t, 1), _cut(t, 1)).otherwise(t)
 
 
 def stem_tokens(c: Column | str) -> Column:
-    """For token arrays inside a row-wise pipeline; each worker stems a word once."""
-    return _stem_lists(c)
+    """Stems of a token array, by built-in expressions alone.
+
+    Each step of the paper is one pass over the array, so that a step reads its
+    word as a variable and no expression is written out twice.
+    """
+    tokens = F.col(c) if isinstance(c, str) else c
+    out = tokens
+    for step in (_without_plural, _without_past, _repaired, _y_to_i, lambda t: _by_table(t, STEP2),
+                 lambda t: _by_table(t, STEP3), _without_step4, _without_e, _without_double_l):
+        out = F.transform(out, step)
+    return F.zip_with(tokens, out, lambda t, s: F.when(F.length(t) < 3, t).otherwise(s))
+
+
+def stem_word(c: Column | str) -> Column:
+    """Stem of one word a row, for columns that already hold distinct terms."""
+    return stem_tokens(F.array(F.col(c) if isinstance(c, str) else c))[0]
 
 
 def stop_words_with_stems(words: list[str]) -> list[str]:

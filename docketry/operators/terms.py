@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.porter import stem_word
 from docketry.functions.tokens import word_tokens
-from docketry.session import materialize
+from docketry.session import materialize, written
 
 
 def explode_terms(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
@@ -34,7 +34,7 @@ def bounded_vocabulary(frequencies: DataFrame, n_docs: int, min_df: int = 10, ma
 
 
 def stem_counts(counts: DataFrame, value: str = "tf", *keys: str) -> DataFrame:
-    """Counts of stems. Only distinct terms reach Python, since ``counts`` is aggregated already."""
+    """Counts of stems; only distinct terms are stemmed, since ``counts`` is aggregated already."""
     return (
         counts.withColumn("term", stem_word(F.col("term")))
         .groupBy(*keys, "term")
@@ -51,12 +51,13 @@ def tfidf(
     bounded by its text. ``key`` identifies a document.
     """
     n_docs = df.count()
-    vocabulary = bounded_vocabulary(document_frequency(df, tokens), n_docs, min_df, max_df)
+    counts = written(term_counts(df, tokens, key), "term-counts")  # texts are cut once; all that follows reads counts
+    frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = bounded_vocabulary(frequencies, n_docs, min_df, max_df)
     if use_idf:
         idf = F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1
     else:
         idf = F.lit(1.0)
-    counts = term_counts(df, tokens, key)
     raw = counts.join(vocabulary.select("term", idf.alias("idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", (F.col("w") / norm).alias("weight"))
