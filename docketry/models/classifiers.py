@@ -17,7 +17,7 @@ from docketry.models.calibration import CalibratedLinearSvc
 from docketry.models.features import PriorShift, doc_vector_stages, tfidf_stages
 from docketry.models.fitting import fit_in_order
 from docketry.models.huber import ModifiedHuber
-from docketry.models.kernel import NystroemMap
+from docketry.models.kernel_svc import KernelSvc
 from docketry.models.neighbours import NeighbourVote
 from docketry.models.threads import side_by_side
 from docketry.operators import evaluation as ev
@@ -51,11 +51,7 @@ class MultinomialBayes(Estimator):
 
 
 def kernel_svc(kernel: str, n_landmarks: int = 256, **kwargs) -> list:
-    c = kwargs.pop("C", 1.0)
-    return [
-        NystroemMap(inputCol="features", outputCol="kernel_features", kernel=kernel, landmarks=n_landmarks, **kwargs),
-        CalibratedLinearSvc(featuresCol="kernel_features", labelCol=LABEL, C=c),
-    ]
+    return [KernelSvc(featuresCol="features", labelCol=LABEL, kernel=kernel, landmarks=n_landmarks, **kwargs)]
 
 
 # Name -> (number of training rows) -> stages. With n rows, C maps to regParam 1 / (C n).
@@ -128,7 +124,7 @@ def compare_models(
     def one_row(name: str) -> tuple:
         stages = stages_for(name, n, **(model_args or {}).get(name, {}))
         for stage in stages:
-            if isinstance(stage, CalibratedLinearSvc):
+            if isinstance(stage, (CalibratedLinearSvc, KernelSvc)):
                 stage.set(stage.folds, 0)  # the scores use labels, which need no calibration
         model = fit_in_order(stages, fit_on)
         counts = ev.confusion_counts(model.transform(held), LABEL, "prediction")

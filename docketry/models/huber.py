@@ -28,7 +28,7 @@ class ModifiedHuber(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadabl
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=100):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=25)
+        self._setDefault(featuresCol="features", labelCol="treated", alpha=1e-4, maxIter=100)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ModifiedHuberModel:

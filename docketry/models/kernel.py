@@ -32,6 +32,7 @@ class _KernelParams(HasInputCol, HasOutputCol):
     gamma = Param(Params._dummy(), "gamma", "kernel width, 0 = scale", TypeConverters.toFloat)
     landmarks = Param(Params._dummy(), "landmarks", "number of landmark rows", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
+    choice = Param(Params._dummy(), "choice", "landmarks by leverage or by hash alone", TypeConverters.toString)
 
 
 def scale_gamma(df: DataFrame, features: str) -> float:
@@ -56,6 +57,11 @@ def kernel_values(dots: np.ndarray, sq_x: np.ndarray, sq_l: np.ndarray, kernel:
     raise ValueError(f"unknown kernel {kernel!r}")
 
 
+def own_values(squares: np.ndarray, kernel: str, gamma: float, degree: int, coef0: float) -> np.ndarray:
+    """Kernel of each row with itself."""
+    return np.ones(len(squares)) if kernel == "rbf" else (gamma * squares + coef0) ** degree
+
+
 class LandmarkIndex:
     """Posting lists of the landmark rows; dot products with a batch of sparse rows."""
 
@@ -92,52 +98,115 @@ class LandmarkIndex:
 class NystroemMap(Estimator, _KernelParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, *, inputCol="features", outputCol="kernel_features", kernel="poly", degree=2, coef0=0.0,
-                 gamma=0.0, landmarks=256, seed=42):
+                 gamma=0.0, landmarks=256, seed=42, choice="leverage"):
         super().__init__()
         self._setDefault(inputCol="features", outputCol="kernel_features", kernel="poly", degree=2, coef0=0.0,
-                         gamma=0.0, landmarks=256, seed=42)
+                         gamma=0.0, landmarks=256, seed=42, choice="leverage")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> NystroemModel:
+        """Landmarks by ridge leverage, and what their kernel leaves out of the rows' own.
+
+        A pilot of the distinct rows with the smallest seeded hash tells how far
+        each row lies outside the pilot's span; rows are then drawn in
+        proportion to that, once, with keys from their hash (recursive Nystrom,
+        Musco and Musco, 2017). Scores and keys are ranked alone; vectors are
+        fetched for the winners only.
+        """
         p = {name: self.getOrDefault(getattr(self, name))
              for name in ("kernel", "degree", "coef0", "gamma", "landmarks", "seed")}
         gamma = p["gamma"] or scale_gamma(dataset, self.getInputCol())
-        # Landmarks: the distinct rows of smallest seeded hash. The hashes are
-        # ranked alone; vectors are fetched for the winners only.
         rows = sparse_columns(dataset.select(self.getInputCol()), self.getInputCol())
         hashed = rows.filter(F.size("_idx") > 0).select(
             "_idx", "_val", F.xxhash64(F.lit(p["seed"]), "_idx", "_val").alias("h")
         )
-        best = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(p["landmarks"]).collect()]
-        if not best:
-            raise ValueError("no row has any feature")
-        chosen = (
-            hashed.filter(F.col("h") <= best[-1])
-            .groupBy("h").agg(F.first("_idx").alias("_idx"), F.first("_val").alias("_val"))
-            .orderBy("h").collect()
-        )
-        idx = [np.array(r["_idx"], dtype=np.int64) for r in chosen]
-        val = [np.array(r["_val"]) for r in chosen]
-        sq = np.array([v @ v for v in val])
-        w = kernel_values(LandmarkIndex(idx, val).dots(idx, val), sq, sq, p["kernel"], gamma, p["degree"], p["coef0"])
-        eig, vec = np.linalg.eigh(w)
-        keep = eig > 1e-10 * max(eig.max(), 1e-300)
-        root = vec[:, keep] / np.sqrt(eig[keep])
+        kernel = (p["kernel"], gamma, p["degree"], p["coef0"])
+        chosen = Landmarks(_fetched(hashed, F.col("h"), p["landmarks"]), *kernel)
+        error = chosen.left_out(hashed)
+        if self.getOrDefault(self.choice) == "leverage" and error > 1e-9 and chosen.m == p["landmarks"]:
+            share = chosen.leverage(hashed, error)
+            u = ((F.xxhash64(F.lit("draw"), "h").bitwiseAND((1 << 52) - 1)) + 0.5) / float(1 << 52)
+            drawn = Landmarks(_fetched(hashed.withColumn("_share", share), -F.log(u) / F.col("_share"), p["landmarks"]), *kernel)
+            better = drawn.left_out(hashed)
+            if better < error:
+                chosen, error = drawn, better
         state = {
-            "idx": [i.tolist() for i in idx], "val": [v.tolist() for v in val], "root": root.tolist(), "gamma": gamma,
+            "idx": [i.tolist() for i in chosen.idx], "val": [v.tolist() for v in chosen.val],
+            "root": chosen.root.tolist(), "gamma": gamma,
         }
         model = NystroemModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel=p["kernel"],
-                              degree=p["degree"], coef0=p["coef0"], gamma=gamma, landmarks=len(idx), seed=p["seed"],
-                              state=json.dumps(state))
+                              degree=p["degree"], coef0=p["coef0"], gamma=gamma, landmarks=chosen.m, seed=p["seed"],
+                              state=json.dumps(state), kernelError=error)
         return model
 
 
+def _fetched(hashed: DataFrame, key, n: int) -> list:
+    """(h, _idx, _val) of the ``n`` distinct rows with the smallest keys."""
+    best = hashed.groupBy("h").agg(F.min(key).alias("_key")).orderBy("_key", "h").limit(n).select("h").collect()
+    rows = hashed.filter(F.col("h").isin([r["h"] for r in best])).groupBy("h").agg(
+        F.first("_idx").alias("_idx"), F.first("_val").alias("_val")).orderBy("h").collect()  # n rows
+    if not rows:
+        raise ValueError("no row has any feature")
+    return rows
+
+
+class Landmarks:
+    """Landmark rows, the kernel among them and the projection to features whose products are the kernel."""
+
+    def __init__(self, rows: list, kernel: str, gamma: float, degree: int, coef0: float):
+        self.kernel = (kernel, gamma, degree, coef0)
+        self.idx = [np.array(r["_idx"], dtype=np.int64) for r in rows]
+        self.val = [np.array(r["_val"]) for r in rows]
+        self.m = len(rows)
+        self.index = LandmarkIndex(self.idx, self.val)
+        self.norms = np.array([v @ v for v in self.val])
+        self.gram = kernel_values(self.index.dots(self.idx, self.val), self.norms, self.norms, *self.kernel)
+        eig, vec = np.linalg.eigh(self.gram)
+        keep = eig > 1e-10 * max(eig.max(), 1e-300)
+        self.eig, self.vec = eig[keep], vec[:, keep]
+        self.root = self.vec / np.sqrt(self.eig)
+
+    def _per_row(self, df: DataFrame, weigh):
+        """Column of ``weigh(k(x, L), k(x, x))`` for rows with ``_idx`` and ``_val``."""
+        sent = df.sparkSession.sparkContext.broadcast((self.index, self.norms))  # ``landmarks`` rows
+        settings = self.kernel
+
+        @F.pandas_udf("double")
+        def value(ix: pd.Series, vx: pd.Series) -> pd.Series:
+            index, norms = sent.value
+            out = []
+            for start in range(0, len(ix), 2_000):
+                i = [np.asarray(a) for a in ix.iloc[start : start + 2_000]]
+                v = [np.asarray(a, dtype=float) for a in vx.iloc[start : start + 2_000]]
+                square = np.array([a @ a for a in v])
+                out.append(weigh(kernel_values(index.dots(i, v), square, norms, *settings), own_values(square, *settings)))
+            return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+        return value("_idx", "_val")
+
+    def left_out(self, df: DataFrame) -> float:
+        """Share of the rows' kernel with themselves that the landmarks' features miss: the audited kernel error."""
+        root = self.root
+        missing = self._per_row(df, lambda k, own: np.maximum(own - ((k @ root) ** 2).sum(axis=1), 0.0))
+        whole = self._per_row(df, lambda k, own: own)
+        row = df.agg(F.sum(missing).alias("missing"), F.sum(whole).alias("whole")).first()
+        return float(row["missing"] / row["whole"]) if row["whole"] else 0.0
+
+    def leverage(self, df: DataFrame, error: float):
+        """Column of every row's ridge leverage; the ridge is what a landmark leaves out on average."""
+        mean = float(np.mean(np.diag(self.gram)))
+        ridge = max(error * mean * df.count() / self.m, 1e-12)
+        shrunk = self.vec / np.sqrt(self.eig + ridge)
+        return self._per_row(df, lambda k, own: np.clip((own - ((k @ shrunk) ** 2).sum(axis=1)) / ridge, 1e-6, 1.0))
+
+
 class NystroemModel(Model, _KernelParams, DefaultParamsReadable, DefaultParamsWritable):
     state = Param(Params._dummy(), "state", "landmark rows and projection", TypeConverters.toString)
+    kernelError = Param(Params._dummy(), "kernelError", "share of the training rows' kernel left out", TypeConverters.toFloat)
 
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, kernel=None, degree=None, coef0=None, gamma=None,
-                 landmarks=None, seed=None, state=None):
+                 landmarks=None, seed=None, state=None, kernelError=None):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
