@@ -1,8 +1,8 @@
 """Exact order statistics and running sums without one big sorted task.
 
-Small inputs (``rows_per_block`` or fewer) use a plain sort. Larger ones are cut
-into value blocks by distributed quantiles; only block totals, a list of bounded
-length, come to the driver.
+Rows are cut into value blocks, by distributed quantiles or by range; only block
+totals, a list of bounded length, come to the driver. A search for the n-th row
+ends with a top-k once so few candidates are left that a heap holds them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from docketry.session import stored, written
+
 ROWS_PER_BLOCK = 1_000_000
 ROWS_TO_RANK = 100_000  # candidates left for the closing top-k, whose heap ends at the driver
 MAX_BLOCKS = 4096
@@ -103,26 +105,27 @@ def running_sums(
     descending: bool = False,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Add ``cum_<c>``: inclusive running sums along a column of distinct numbers."""
+    """Add ``cum_<c>``: inclusive running sums along a column of distinct numbers.
+
+    Rows are dealt by ranges of ``order`` and written with their range's number;
+    each range runs its own sums, and the totals of the ranges before it are
+    joined. The path is the same at every size: no task sees more than a range,
+    and one total per range, at most MAX_BLOCKS, comes to the driver.
+    """
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    total = df.count()
-    blocks = min(MAX_BLOCKS, math.ceil(total / rows_per_block)) if total else 1
-    if blocks <= 1:
-        w = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in columns])
-    tagged = with_block(df, order, blocks)
-    totals = (
-        tagged.groupBy("_block").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("_block").collect()
-    )  # at most MAX_BLOCKS rows
-    if descending:
-        totals = totals[::-1]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with stored(df) as kept:
+        blocks = min(MAX_BLOCKS, max(least, math.ceil(kept.count() / rows_per_block)))
+        dealt = written(kept.repartitionByRange(blocks, direction).withColumn("_block", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_block").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("_block").collect()
     carried, seen = [], [0] * len(columns)
     for row in totals:
         carried.append((row["_block"], *seen))
         seen = [s + row[c] for s, c in zip(seen, columns)]
-    offsets = df.sparkSession.createDataFrame(carried, ["_block", *[f"_off_{c}" for c in columns]])
+    kinds = [f"_off_{c} {dealt.select(F.sum(c)).schema[0].dataType.simpleString()}" for c in columns]
+    offsets = df.sparkSession.createDataFrame(carried, ", ".join(["_block int", *kinds]))
     w = Window.partitionBy("_block").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in columns])
+    local = dealt.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in columns])
     joined = local.join(F.broadcast(offsets), "_block")  # MAX_BLOCKS rows at most
     return joined.select(
         *[F.col(c) for c in df.columns],

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from functools import wraps
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.session import stored
+from docketry.session import stored, written
 
 TERMS = ["Intercept", "Treated", "Post", "Treated:Post"]
-MAX_PERIODS = 2_000
+MAX_SWEEPS = 500  # steps of the conjugate gradients; a fit that needs more warns
+SWEEP_TOLERANCE = 1e-20  # of the squared residual at the start
 COEFFICIENTS = "model string, term string, coef double, std_err double, z double, p_value double"
 STATISTICS = "model string, statistic string, value double"
 
@@ -105,19 +106,83 @@ def did_ols(panel: DataFrame, cluster: str = "group_id") -> tuple[DataFrame, Dat
     )
 
 
-def whole_groups(batches, key: str):
-    """Frames of one key each from batches sorted by key."""
-    rest = None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf])
-        if pdf.empty:
-            continue
-        last = pdf[key].iloc[-1]
-        rest = pdf[pdf[key] == last]
-        for _, part in pdf[pdf[key] != last].groupby(key):
-            yield part
-    if rest is not None:
-        yield rest
+SWEPT = ["y", "x1", "x2"]
+
+
+def _time_effects(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``(t, y, x1, x2)``: the time effects of each column beside entity effects, and how many of them are free.
+
+    The normal equations of the time effects, entity means swept out, are solved
+    by conjugate gradients for the three columns at once. A step is two grouped
+    sums over the (entity, time) cells and one row of scalar products at the
+    driver; neither entities nor times are collected or bounded in number.
+    """
+    cells = written(rows.groupBy("e", "t").agg(F.count(F.lit(1)).cast("double").alias("n")), "cells")
+    counts = written(cells.groupBy("t").agg(F.sum("n").alias("size")), "time-sizes")
+
+    def swept_sums(weighted: DataFrame) -> list[Column]:
+        return [F.sum(F.col("n") * (F.col(c) - F.col(f"mean_{c}"))).alias(c) for c in SWEPT]
+
+    def off_entity_means(df: DataFrame) -> DataFrame:
+        """Per time, the sums of the columns (weight n) with their entity means taken off."""
+        means = df.groupBy("e").agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"mean_{c}") for c in SWEPT])
+        return df.join(means, "e").groupBy("t").agg(*swept_sums(df))
+
+    def named(prefix: str) -> list[Column]:
+        return [F.col(c).alias(f"{prefix}_{c}") for c in SWEPT]
+
+    target = off_entity_means(rows.withColumn("n", F.lit(1.0))).select("t", *named("r"))
+    zero = F.lit(0.0)
+    state = counts.join(target, "t").select(
+        "t", "size", *[F.col(f"r_{c}") for c in SWEPT],
+        *[zero.alias(f"{v}_{c}") for v in ("x", "p", "s") for c in SWEPT])
+    state = written(state, "time-effects")
+    beta_of, alpha_of, first = dict.fromkeys(SWEPT, 0.0), dict.fromkeys(SWEPT, 0.0), None
+    before = {}
+    for _ in range(MAX_SWEEPS):
+        # u: residual over the diagonal; w: the equations' matrix times u
+        u = state.select("t", *[(F.col(f"r_{c}") / F.col("size")).alias(c) for c in SWEPT])
+        w = off_entity_means(cells.join(u, "t")).select("t", *named("w"))
+        state = written(state.join(w, "t"), "time-effects")
+        scalars = state.agg(
+            *[F.sum(F.col(f"r_{c}") ** 2 / F.col("size")).alias(f"g_{c}") for c in SWEPT],
+            *[F.sum(F.col(f"w_{c}") * F.col(f"r_{c}") / F.col("size")).alias(f"d_{c}") for c in SWEPT]).first()
+        g = {c: scalars[f"g_{c}"] for c in SWEPT}
+        first = first or g
+        if all(g[c] <= SWEEP_TOLERANCE * first[c] for c in SWEPT):
+            break
+        for c in SWEPT:
+            if g[c] <= SWEEP_TOLERANCE * first[c] or scalars[f"d_{c}"] <= 0:
+                beta_of[c] = alpha_of[c] = 0.0
+                continue
+            beta_of[c] = g[c] / before[c] if before.get(c) and alpha_of[c] else 0.0
+            curve = scalars[f"d_{c}"] - (beta_of[c] * g[c] / alpha_of[c] if alpha_of[c] else 0.0)
+            alpha_of[c] = g[c] / curve
+        before = g
+        moved = ["t", "size"]
+        for c in SWEPT:
+            p = F.col(f"r_{c}") / F.col("size") + F.lit(beta_of[c]) * F.col(f"p_{c}")
+            s = F.col(f"w_{c}") + F.lit(beta_of[c]) * F.col(f"s_{c}")
+            moved += [(F.col(f"x_{c}") + F.lit(alpha_of[c]) * p).alias(f"x_{c}"), p.alias(f"p_{c}"), s.alias(f"s_{c}"),
+                      (F.col(f"r_{c}") - F.lit(alpha_of[c]) * s).alias(f"r_{c}")]
+        state = state.select(*moved)
+    else:
+        warnings.warn("the time effects stopped before they converged", stacklevel=2)
+    effects = state.select("t", *[F.col(f"x_{c}").alias(f"effect_{c}") for c in SWEPT])
+    return effects, counts.count() - _connected(cells)
+
+
+def _connected(cells: DataFrame) -> int:
+    """Groups of times that entities link: the smallest time reachable, until none gets smaller."""
+    label = written(cells.select("t").distinct().withColumn("low", F.col("t")), "time-groups")
+    while True:
+        held = cells.join(label, "t")
+        lowest = held.groupBy("e").agg(F.min("low").alias("low_e"))
+        after = held.join(lowest, "e").groupBy("t").agg(F.min("low_e").alias("low"), F.min("low").alias("was"))
+        after = written(after, "time-groups")
+        if after.filter("low < was").isEmpty():
+            return after.select("low").distinct().count()
+        label = after.select("t", "low")
 
 
 @over_stored_panel
@@ -126,77 +191,39 @@ def fixed_effects(
 ) -> tuple[DataFrame, DataFrame]:
     """log_Count on Treated and Treated:Post with entity and time effects, clustered by entity.
 
-    Post is a function of the quarter, so the time effects absorb it. Entity
-    means are swept out per group, the quarters stay as dummies: their number is
-    small and checked, so the sweep is exact for unbalanced panels without
-    iterating. Each task adds up its own cross products; the sum has size
-    (quarters + 2) squared.
+    Post is a function of the quarter, so the time effects absorb it. Both
+    effects are swept out of all columns, exactly also for unbalanced panels and
+    whatever the number of entities and times; what is left is a regression on
+    two columns, with errors summed per entity.
     """
-    periods = [r[0] for r in panel.select(time).distinct().orderBy(time).limit(MAX_PERIODS + 1).collect()]
-    if len(periods) > MAX_PERIODS:
-        raise ValueError("more periods than can be handled as dummies")
-    position = {str(p): i for i, p in enumerate(periods)}
-    q = len(periods) - 1  # first period is the base
-    width = q + 3  # dummies, Treated, Treated:Post, outcome
-
-    def rows_of(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.zeros((len(pdf), width))
-        at = pdf["t"].map(position).to_numpy()
-        inner = at > 0
-        m[np.flatnonzero(inner), at[inner] - 1] = 1.0
-        m[:, q:] = pdf[["x1", "x2", "y"]].to_numpy()
-        return m - m.mean(axis=0)
-
-    slim = panel.select(
+    rows = written(panel.select(
         F.col(entity).cast("string").alias("e"), F.col(time).cast("string").alias("t"),
-        F.col("Treated").cast("double").alias("x1"), (F.col("Treated") * F.col("Post")).cast("double").alias("x2"),
-        F.col("log_Count").alias("y"),
-    )
-    grouped = slim.repartition("e").sortWithinPartitions("e")
-
-    def products(batches):
-        total, n, groups = np.zeros((width, width)), 0, 0
-        for part in whole_groups(batches, "e"):
-            m = rows_of(part)
-            total += m.T @ m
-            n, groups = n + len(part), groups + 1
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
-        yield pd.DataFrame({"i": [-1, -1], "j": [0, 1], "v": [float(n), float(groups)]})
-
-    sums = grouped.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    full, size = np.zeros((width, width)), {}
-    for r in sums.collect():  # (quarters + 2) squared cells
-        if r["i"] < 0:
-            size[r["j"]] = r["v"]
-        else:
-            full[r["i"], r["j"]] = r["v"]
-    n, g = size[0], size[1]
-    xx, xy = full[:-1, :-1], full[:-1, -1]
+        F.col("log_Count").cast("double").alias("y"), F.col("Treated").cast("double").alias("x1"),
+        (F.col("Treated") * F.col("Post")).cast("double").alias("x2")).dropna(), "panel-rows")
+    effects, free = _time_effects(rows)
+    centred = rows.join(effects, "t").select("e", *[(F.col(c) - F.col(f"effect_{c}")).alias(c) for c in SWEPT])
+    means = centred.groupBy("e").agg(*[F.avg(c).alias(f"mean_{c}") for c in SWEPT])
+    swept = written(centred.join(means, "e").select("e", *[(F.col(c) - F.col(f"mean_{c}")).alias(c) for c in SWEPT]), "swept")
+    xs, y = [F.col("x1"), F.col("x2")], F.col("y")
+    xx, xy, n = _cross_products(swept, xs, y)
+    scale = rows.agg(*[F.sum(x * x).alias(f"s{i}") for i, x in enumerate(xs)]).first()
+    absorbed = [xx[i, i] <= 1e-9 * (scale[i] or 0.0) for i in range(2)]
+    for i in range(2):
+        if absorbed[i]:
+            xx[i, :] = xx[:, i] = xy[i] = 0.0
     bread = np.linalg.pinv(xx)
     beta = bread @ xy
-
-    def scores(batches):
-        out = np.zeros((width - 1, width - 1))
-        for part in whole_groups(batches, "e"):
-            m = rows_of(part)
-            u = m[:, :-1].T @ (m[:, -1] - m[:, :-1] @ beta)
-            out += np.outer(u, u)
-        i, j = np.nonzero(out)
-        yield pd.DataFrame({"i": i, "j": j, "v": out[i, j]})
-
-    meat = np.zeros_like(xx)
-    for r in grouped.mapInPandas(scores, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        meat[r["i"], r["j"]] = r["v"]
-    k = np.linalg.matrix_rank(xx)
-    factor = g / (g - 1) * (n - 1) / max(n - k - g, 1) if g > 1 else 1.0
-    cov = factor * bread @ meat @ bread
-    keep = slice(q, q + 2)
-    rss = full[-1, -1] - beta @ xy
-    tss = panel.agg(F.var_pop("log_Count") * F.count("log_Count")).first()[0]
+    k = free + int(np.linalg.matrix_rank(xx))
+    residual = y - _fitted(xs, beta)
+    g = rows.select("e").distinct().count()
+    cov = _clustered(swept, xs, residual, bread, "e", n, k + g)
+    if n <= k + g and g > 1:  # the helper leaves its factor at one there
+        cov = cov * g / (g - 1) * (n - 1)
+    rss = swept.agg(F.sum(residual * residual)).first()[0]
+    tss = rows.agg(F.var_pop("y") * F.count("y")).first()[0]
     r2, params = 1 - rss / tss, k + g
     return (
-        _table(panel, "fixed_effects", ["Treated", "Treated:Post"], beta[keep], cov[keep, keep]),
+        _table(panel, "fixed_effects", ["Treated", "Treated:Post"], beta, cov),
         _statistics(panel, "fixed_effects", n=n, r_squared=r2, adj_r_squared=1 - (1 - r2) * (n - 1) / max(n - params, 1)),
     )
 
