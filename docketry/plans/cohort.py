@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import claims as cl
 from docketry.operators import counting as ct
-from docketry.operators.joins import anti, semi
+from docketry.operators.joins import anti, semi, semi_by_id
 from docketry.operators.sampling import weighted_with_replacement, weighted_without_replacement
 from docketry.session import materialize, written
 
@@ -47,7 +47,7 @@ def extract_application_claims(claims: DataFrame, applications: DataFrame) -> Da
 def extract_patent_claims(claims: DataFrame, patent_ids: DataFrame) -> DataFrame:
     """Independent claims of the issued patents listed in ``patent_ids`` (one LONG column)."""
     keyed = independent_claims(claims, "issued").withColumn("patent_id", cl.to_int_id("patent_id"))
-    return semi(keyed.filter(F.col("patent_id").isNotNull()), patent_ids, "patent_id")
+    return semi_by_id(keyed.filter(F.col("patent_id").isNotNull()), patent_ids, "patent_id")
 
 
 def any_ground(grounds: tuple[str, ...] = ("alice_in", "bilski_in", "mayo_in", "myriad_in")) -> Column:

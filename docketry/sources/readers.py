@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docketry.functions.claims import to_date, to_int_id
 from docketry.sources import schemas
@@ -14,28 +15,70 @@ from docketry.sources import schemas
 Paths = str | Sequence[str]
 
 
+def quoted_records(spark: SparkSession, path: Paths) -> DataFrame:
+    """``(file, record)``: the records of delimited files whose quoted values may hold line breaks, headers left out.
+
+    Lines are read in splits. A line starts a record if the quotes before it in
+    its file are even in number (a doubled quote inside a value changes
+    nothing), which follows from the lines before it in its split and one row of
+    totals for each split. Most records are one line and stay where they are
+    read from the exchange by split; the lines of the others meet by record.
+    Quotes must stand around values, and doubled inside them, alone.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"),
+        "value", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    lines = lines.withColumns({"n": F.row_number().over(Window.partitionBy("file", "split").orderBy("at")),
+                               "n_odd": F.sum("odd").over(so_far)})
+    splits = lines.groupBy("file", "split").agg(
+        (F.sum("quotes") % 2).alias("turn"), F.count(F.lit(1)).alias("n_lines"), F.sum("odd").alias("n_turned"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("inside", F.coalesce(F.sum("turn").over(earlier), F.lit(0)) % 2)
+    starts = F.when(F.col("inside") == 0, F.col("n_lines") - F.col("n_turned")).otherwise(F.col("n_turned"))
+    splits = splits.withColumn("starts", F.coalesce(F.sum(starts).over(earlier), F.lit(0))).select(
+        "file", "split", "inside", "starts")
+    placed = lines.join(splits, ["file", "split"])
+    own = F.when(F.col("inside") == 0, F.col("n") - F.col("n_odd")).otherwise(F.col("n_odd"))
+    placed = placed.select("file", "split", "at", "value", "quotes", (F.col("starts") + own).alias("number"),
+                           (F.col("odd") == F.col("inside")).alias("start"))
+    whole = F.col("start") & (F.col("quotes") % 2 == 0)
+    single = placed.filter(whole).select("file", "number", F.col("value").alias("record"))
+    pieces = F.array_sort(F.collect_list(F.struct("split", "at", "value")))
+    several = placed.filter(~whole).groupBy("file", "number").agg(
+        F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("record"))
+    records = single.union(several).filter("number > 1")  # the first of a file is its header
+    return records.select("file", F.regexp_replace("record", "\r$", "").alias("record")).filter(F.trim("record") != "")
+
+
 def _delimited(
     spark: SparkSession, path: Paths, schema: T.StructType, sep: str, multi_line: bool = False
 ) -> DataFrame:
     """Delimited text with quoted values.
 
     Columns are matched by header name: the file may hold more columns, in any
-    order. Files are read in splits. Only claim texts may hold line breaks; such
-    a multi-line file cannot be split, so big inputs are landed as Parquet once
-    (``land_claims``) and read from there.
+    order; files of one call have one header. Files are read in splits, also
+    where claim texts hold line breaks (``quoted_records``).
     """
-    raw = spark.read.csv(
-        path, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False, enforceSchema=False
-    )
-    present = set(raw.columns)
-    return raw.select(*[
+    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', inferSchema=False, enforceSchema=False)
+    present = list(raw.columns)
+    if multi_line:
+        kinds = ", ".join(f"c{i} string" for i in range(len(present)))
+        parsed = F.from_csv("record", kinds, {"sep": sep, "quote": '"', "escape": '"'})
+        raw = quoted_records(spark, path).select("file", parsed.alias("row")).select(
+            F.col("file").alias("_file"), *[F.col("row")[f"c{i}"].alias(name) for i, name in enumerate(present)])
+    kept = [F.col("_file")] if multi_line else []
+    return raw.select(*kept, *[
         (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ])
 
 
 def read_tsv(spark: SparkSession, path: Paths, schema: T.StructType, multi_line: bool = False) -> DataFrame:
-    return _delimited(spark, path, schema, "\t", multi_line)
+    return _delimited(spark, path, schema, "\t", multi_line).select(*schema.names)
 
 
 def read_csv(spark: SparkSession, path: Paths, schema: T.StructType) -> DataFrame:
@@ -113,9 +156,8 @@ def year_from_file_name(path: str | F.Column) -> F.Column:
 
 def read_yearly_files(spark: SparkSession, path: Paths, schema: T.StructType, sep: str = ",") -> DataFrame:
     """Loose yearly files as one table tagged with the year of the file name."""
-    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True)
-    tagged = raw.withColumn("year", year_from_file_name(F.input_file_name()))
-    return tagged.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields], "year")
+    raw = _delimited(spark, path, schema, sep, multi_line=True)
+    return raw.select(*[f"`{name}`" for name in schema.names], year_from_file_name("_file").alias("year"))
 
 
 def read_training(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -470,6 +470,11 @@ sql("applications_csv_round_trip", "applications", "SELECT * FROM applications")
 sql("scored_by_year", "scored_claims", """
     SELECT CAST(2010 + CAST(patent_id AS BIGINT) % 7 AS INTEGER) AS year, predicted_label, count(*) AS "count"
     FROM scored_claims GROUP BY 1, 2""")
+sql("scored_full_text_by_year", "claims", """
+    SELECT patent_id, claim_sequence, claim_text, CAST(claim_sequence % 2 AS INTEGER) AS predicted_label, year FROM claims""")
+sql("yearly_scored_files", "scored_claims", """
+    SELECT CAST(2010 + CAST(patent_id AS BIGINT) % 7 AS INTEGER) AS year, predicted_label, count(*) AS n,
+           count(DISTINCT patent_id) AS patents, round(sum("1"), 6) + 0.0 AS score_sum FROM scored_claims GROUP BY 1, 2""")
 sql("training_round_trip", "training", "SELECT app_id, claim_text, treated FROM training")
 sql("report_round_trip", "predictions", C4 + """
     SELECT 'valid' AS outcome, round(p0, 3) AS "Precision", round(r0, 3) AS "Recall", round(f0, 3) AS "F1",

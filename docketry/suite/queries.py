@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import claims as cl
 from docketry.functions import tokens as tk
@@ -802,7 +803,7 @@ def model_comparison(v: Views) -> DataFrame:
 @query
 def tuning_search(v: Views) -> DataFrame:
     train, _ = split(v)
-    return random_search(train, n_iter=2)
+    return random_search(train)
 
 
 def issued_model(v: Views):
@@ -924,6 +925,27 @@ def scored_by_year(v: Views) -> DataFrame:
     return ct.value_counts(v.spark.read.parquet(path).select("year", "predicted_label"), "year", "predicted_label")
 
 
+@query
+def scored_full_text_by_year(v: Views) -> DataFrame:
+    """Yearly partitions with full texts, written and read back."""
+    path = scratch_path(v.spark, "scored-texts")
+    labelled = v.claims().select("patent_id", "claim_sequence", "claim_text", (F.col("claim_sequence") % 2).cast("int").alias(
+        "predicted_label"), "year")
+    writers.write_scored(labelled, path)
+    return v.spark.read.parquet(path).select("patent_id", "claim_sequence", "claim_text", "predicted_label", "year")
+
+
+@query
+def yearly_scored_files(v: Views) -> DataFrame:
+    """Loose yearly files read as one table, the year taken from their names."""
+    path = scratch_path(v.spark, "yearly")
+    scored = v.scored_claims().withColumn("year", (F.lit(2010) + cl.to_int_id("patent_id") % 7).cast("int"))
+    writers.write_yearly_files(scored.select("patent_id", "claim_sequence", "`1`", "predicted_label", "year"), path)
+    schema = T.StructType.fromDDL("patent_id string, claim_sequence long, `1` double, predicted_label int")
+    return readers.read_yearly_files(v.spark, path, schema).groupBy("year", "predicted_label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("patent_id").alias("patents"), r6(F.sum("1"), "score_sum"))
+
+
 @query
 def training_round_trip(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "training")
