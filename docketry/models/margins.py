@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from docketry.models.kernel import kernel_values
 
-WIDTHS = (2.0, 1.0, 0.5, 0.25, 0.1)  # half widths of the rounded corner, one after the other
+WIDTHS = (2.0, 0.5, 0.1)  # half widths of the rounded corner, one after the other
 TOLERANCE = 1e-4  # of the objective: what a further step could still gain; a hundred times that before the last width
 PROGRESS = 2e-3  # of the objective: a step that gained no more ends a width too
-MAX_PASSES = 100
+MAX_PASSES = 60
 FLOOR = 1e-6  # of the landmarks' mean kernel with themselves
 STEPS = (0.0, 1.0, 4.0, 2.0, 0.5, 0.25, 0.125, 2.0**-4, 2.0**-5, 2.0**-7, 2.0**-9)  # along a direction, tried in one pass
 
