@@ -571,6 +571,16 @@ def fixed_effects(v: Views) -> DataFrame:
     return rg.fixed_effects(panel(v))[0]
 
 
+@query
+def fixed_effects_coefficients(v: Views) -> DataFrame:
+    return rg.fixed_effects(panel(v))[0].select("term", r6("coef", "coef"))
+
+
+@query
+def negative_binomial_coefficients(v: Views) -> DataFrame:
+    return rg.negative_binomial(panel(v))[0].filter("term <> 'alpha'").select("term", r6("coef", "coef"))
+
+
 @query
 def poisson_cell_means(v: Views) -> DataFrame:
     return rg.cell_mean_coefficients(panel(v)).select("term", r6("coef", "coef"))

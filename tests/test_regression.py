@@ -96,3 +96,28 @@ def test_series_start_at_one_and_interval_holds_mean(panel):
     assert {r["f"] for r in first.collect()} == {1.0}
     out = pn.bootstrap_series(series, replicates=200).collect()
     assert all(r["ci_low"] <= r["mean"] + 1e-9 and r["mean"] <= r["ci_high"] + 1e-9 for r in out)
+
+
+def test_fixed_effects_of_five_thousand_periods(spark):
+    """Unbalanced, with an entity and a period of one row; the sweep by alternating means in numpy is the yardstick."""
+    rng = np.random.default_rng(8)
+    n = 30_000
+    e, t = rng.integers(0, 40, n), rng.integers(0, 5_000, n)
+    e[0], t[0], e[1], t[1] = 40, 17, 3, 5_000
+    pdf = pd.DataFrame({"group_id": e, "quarter_issue_date_dt": t, "Treated": rng.integers(0, 2, n)})
+    pdf["Post"] = (pdf.quarter_issue_date_dt > 2_500).astype(int)
+    pdf["log_Count"] = 0.3 * pdf.Treated - 0.2 * pdf.Treated * pdf.Post + 0.05 * e + np.sin(t) + rng.normal(0, 0.3, n)
+    m = np.column_stack([pdf.log_Count, pdf.Treated, pdf.Treated * pdf.Post]).astype(float)
+    counts = [np.bincount(k)[k][:, None] for k in (e, t)]
+    for _ in range(200):
+        for k, c in zip((e, t), counts):
+            m -= np.column_stack([np.bincount(k, m[:, j])[k] for j in range(3)]) / c
+    x, y = m[:, 1:], m[:, 0]
+    bread = np.linalg.inv(x.T @ x)
+    beta = bread @ x.T @ y
+    scores = np.column_stack([np.bincount(e, x[:, j] * (y - x @ beta)) for j in range(2)])
+    g, k = len(np.unique(e)), len(np.unique(t)) - 1 + 2
+    cov = g / (g - 1) * (n - 1) / (n - k - g) * bread @ (scores.T @ scores) @ bread
+    got = rg.fixed_effects(spark.createDataFrame(pdf))[0].toPandas()
+    assert np.allclose(got.coef, beta, atol=1e-8)
+    assert np.allclose(got.std_err, np.sqrt(np.diag(cov)), rtol=1e-6)
