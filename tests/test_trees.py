@@ -59,3 +59,10 @@ def test_filled_columns_below_zero_stay_with_sparks_learner(spark):
     rows = [(i, SparseVector(2, [0, 1], [-1.0 - i, 1.0]), i % 2) for i in range(20)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert scored(SparseTree(depth=4).fit(df), df) == scored(DecisionTreeClassifier(labelCol="treated", maxDepth=4, seed=42).fit(df), df)
+
+
+def test_a_missing_label_is_an_error(spark):
+    df = spark.createDataFrame([(1, SparseVector(2, [0], [1.0]), 1), (2, SparseVector(2, [1], [1.0]), None)], SCHEMA)
+    for estimator in (SparseTree(depth=2), BoostedStumps(rounds=2)):
+        with pytest.raises(Exception, match="labels must not be null"):
+            estimator.fit(df)
