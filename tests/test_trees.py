@@ -1,16 +1,18 @@
 """Sparse trees against Spark's own learner, and sizes that follow the non-zero entries."""
 
+import json
 import random
 
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.models.boosting import BoostedStumps
-from docketry.models.trees import SparseTree
+from docketry.models import trees
+from docketry.models.boosting import BoostedStumps, SparseBoosting
+from docketry.models.trees import SparseForest, SparseTree
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT()),
                        T.StructField("treated", T.IntegerType())])
@@ -66,3 +68,41 @@ def test_a_missing_label_is_an_error(spark):
     for estimator in (SparseTree(depth=2), BoostedStumps(rounds=2)):
         with pytest.raises(Exception, match="labels must not be null"):
             estimator.fit(df)
+
+
+def test_boosting_is_that_of_sparks_learner(spark):
+    df = table(spark, n=120, seed=11)
+    want = scored(GBTClassifier(labelCol="treated", maxIter=6, maxDepth=3, stepSize=0.1, seed=42).fit(df), df)
+    got = scored(SparseBoosting(rounds=6).fit(df), df)
+    for i in want:
+        assert got[i][0] == pytest.approx(want[i][0], abs=1e-6) and got[i][1] == want[i][1]
+
+
+def test_forest_tells_classes_apart_as_sparks_learner(spark):
+    df, other = table(spark, n=400, seed=5), table(spark, n=300, seed=6)
+    want = RandomForestClassifier(labelCol="treated", numTrees=40, featureSubsetStrategy="sqrt", maxDepth=30, seed=42).fit(df)
+    labels = {r["id"]: r["treated"] for r in other.collect()}
+
+    def right(model):
+        return sum(p == labels[i] for i, (_, p) in scored(model, other).items()) / len(labels)
+
+    forest = SparseForest(trees=40).fit(df)
+    assert right(forest) > right(want) - 0.06
+    assert len({tuple(t["feature"]) for t in json.loads(forest.getOrDefault(forest.state))}) > 30
+
+
+def test_forest_and_boosting_over_columns_that_no_row_fills(spark):
+    rows = [(i, SparseVector(100_000_000, [i % 7, 99_999_990 + i % 2], [0.5, 0.5]), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = SparseBoosting(rounds=2).fit(df).transform(df)
+    assert out.filter(F.col("prediction") != F.col("treated")).count() == 0
+    assert SparseForest(trees=3).fit(df).transform(df).count() == 40
+
+
+def test_level_over_many_blocks_is_that_of_one(spark):
+    df = table(spark, n=200, seed=12)
+    rows, _ = trees.binned(df, "features", "treated")
+    whole, cut = trees.packed(rows.coalesce(1)), trees.packed(rows.repartition(5))
+    assert whole.count() >= 1 and cut.count() > 1
+    found = [trees.grow(b, 4)[0] for b in (whole, cut)]
+    assert found[0].feature == found[1].feature and found[0].cut == found[1].cut and found[0].total == found[1].total
