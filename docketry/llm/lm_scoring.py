@@ -29,7 +29,10 @@ HIDDEN = 32
 ROUNDS = 3  # passes of local training and averaging
 RATE = 0.3
 BATCH = 512
-SLICE = 8192  # tokens scored at once
+SLICE = 2048  # tokens scored at once
+CHUNK = 1 << 16  # tokens whose neighbours are looked up at once, or a little more
+SAFE = 80.0  # exp of it is a 32-bit float
+ONES = np.ones(CLASSES, np.float32)
 MERGE = 64  # groups of tasks that are averaged first
 PARTS = 64  # of the word rows, averaged apart
 WORDS = BUCKETS + 1  # word rows of a side; the last one is the edge of a text
@@ -126,20 +129,55 @@ class Network:
                        out.reshape(HIDDEN, CLASSES).copy(), bias.copy(), words.reshape(-1, HIDDEN).copy())
 
     def hidden(self, context: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
-        h = self.rows[0][context[:, 0]]
+        h, more = self.rows[0].take(context[:, 0], axis=0), np.empty((len(context), HIDDEN), np.float32)
         for k in range(1, 2 * SIDE):
-            h += self.rows[k][context[:, k]]
+            h += self.rows[k].take(context[:, k], axis=0, out=more, mode="clip")
         if near is not None:
             for k in range(2 * SIDE):
-                h += self.words[near[:, k]]
-        return np.tanh(h + self.b)
-
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+                h += self.words.take(near[:, k], axis=0, out=more, mode="clip")
+        h += self.b
+        return np.tanh(h, out=h)
+
+    def odds(self, h: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+        """Logits, lowered to at most 0 where their exp could overflow; ``room`` is memory for them."""
+        logits = np.matmul(h, self.out, out=None if room is None else room[:len(h)])
+        logits += self.bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > SAFE:  # hidden values lie within -1 and 1
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None,
+                          room: np.ndarray | None = None) -> np.ndarray:
         """log P(target class | neighbours) of each position; ``near`` are the word rows of the neighbours."""
-        logits = self.hidden(context, near) @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = self.odds(self.hidden(context, near), room)
         chosen = logits[np.arange(len(target)), target].astype(np.float64)
-        return chosen - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
+        return chosen - np.log((np.exp(logits, out=logits) @ ONES).astype(np.float64))
+
+
+def laid_out(texts: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other, edges between them: ids, classes, place of every word, its position in its text."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    total = int(lengths.sum())
+    within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.arange(total) + np.repeat(SIDE * np.arange(len(texts)), lengths)
+    codes = np.full(total + SIDE * len(texts), BUCKETS, np.int32)
+    codes[at] = np.concatenate(texts)
+    return codes, np.append(classes, np.uint8(0))[codes], at, within
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and texts, some ``CHUNK`` words at a time; a batch ends a chunk."""
+    for b in batches:
+        docs, texts, n = [], [], 0
+        for doc, raw in zip(b.column("id").to_pylist(), b.column("codes").to_pylist()):
+            docs.append(doc)
+            texts.append(np.frombuffer(raw, np.uint16))
+            n += len(texts[-1])
+            if n >= CHUNK:
+                yield docs, texts
+                docs, texts, n = [], [], 0
+        if docs:
+            yield docs, texts
 
 
 def contexts(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,39 +203,58 @@ class _Trainer:
         self.squares = [np.full_like(x, 1e-2) for x in (net.rows, net.b, net.out, net.bias)]
         self.word_squares = np.full_like(net.words, WORD_SQUARES)
         self.met = np.zeros(len(net.words), np.int64)  # how often each word row was met
+        self.room = np.empty((0, CLASSES), np.float32)  # taken once, a step's largest array
 
     def step(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None) -> None:
         net, n = self.net, np.float32(len(target))
         h = net.hidden(context, near)
-        p = h @ net.out + net.bias
-        p -= p.max(axis=1, keepdims=True)
+        if len(self.room) < len(h):
+            self.room = np.empty((len(h), CLASSES), np.float32)
+        p = net.odds(h, self.room)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= n
-        back = (p @ net.out.T) * (1 - h * h)
-        grad = np.empty_like(net.rows)
-        one = np.eye(CLASSES, dtype=np.float32)
-        for k in range(2 * SIDE):
-            grad[k] = one[context[:, k]].T @ back
+        p *= (1 / (n * (p @ ONES)))[:, None]
+        p[np.arange(len(target)), target] -= 1 / n
+        back = p @ net.out.T
+        back *= 1 - h * h
+        grad = self._neighbour_gradients(context, near, back)
         for x, s, g in zip((net.rows, net.b, net.out, net.bias), self.squares,
-                           (grad, back.sum(axis=0), h.T @ p, p.sum(axis=0))):
+                           (grad, back.sum(axis=0), h.T @ p, np.ones(len(p), np.float32) @ p)):
             s += g * g
             x -= RATE * g / np.sqrt(s)
-        if near is not None:
-            self._word_step(near, back)
         self.seen += len(target)
 
-    def _word_step(self, near: np.ndarray, back: np.ndarray) -> None:
-        ids = near.T.ravel()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        g, rows = np.add.reduceat(back[order % len(back)], starts), ids[starts]
-        self.met[rows] += np.diff(starts, append=len(ids))
-        s = self.word_squares[rows] + g * g
+    def _neighbour_gradients(self, context: np.ndarray, near: np.ndarray | None, back: np.ndarray) -> np.ndarray:
+        """Gradient of the class rows; word rows take their step."""
+        if near is not None:
+            places, ids = _in_order(near.T.ravel())
+            starts = np.flatnonzero(np.diff(ids, prepend=-1))
+            self._word_step(ids[starts], np.diff(starts, append=len(ids)), _summed(back.take(places % len(back), axis=0), starts))
+        places, cells = _in_order((context + np.arange(0, 2 * SIDE * CLASSES, CLASSES)).T.ravel())
+        starts = np.flatnonzero(np.diff(cells, prepend=-1))
+        grad = np.zeros((2 * SIDE * CLASSES, HIDDEN), np.float32)
+        grad[cells[starts]] = _summed(back.take(places % len(back), axis=0), starts)
+        return grad.reshape(self.net.rows.shape)
+
+    def _word_step(self, rows: np.ndarray, met: np.ndarray, g: np.ndarray) -> None:
+        self.met[rows] += met
+        s = self.word_squares.take(rows, axis=0)
+        s += g * g
         self.word_squares[rows] = s
-        self.net.words[rows] -= RATE * g / np.sqrt(s)
+        g *= np.float32(RATE)
+        g /= np.sqrt(s, out=s)
+        self.net.words[rows] -= g
+
+
+def _in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the numbers in ascending order, equal ones by place, and the numbers so ordered."""
+    bits = len(x).bit_length()
+    keys = np.sort((x.astype(np.int64) << bits) + np.arange(len(x)))
+    return keys & ((1 << bits) - 1), keys >> bits
+
+
+def _summed(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring rows, from each start to the next; two floats are added as one complex number."""
+    return np.add.reduceat(rows.view(np.complex64), starts).view(np.float32)
 
 
 LOCAL = "part long, slot long, first long, ids binary, weights binary, values binary"
@@ -208,22 +265,20 @@ def _local_training(sent: tuple[np.ndarray, np.ndarray], classes: np.ndarray, of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, held, n, first = _Trainer(Network.of(np.concatenate(sent))), [], 0, None
-        for b in batches:
-            for doc, raw in zip(b.column("id").to_pylist(), b.column("codes").to_pylist()):
-                first = doc if first is None else first
-                codes = np.frombuffer(raw, np.uint16)
-                c = classes[codes]
-                at = np.arange((offset + (doc or 0)) % rounds, len(c), rounds)
-                if len(at):
-                    held.append((contexts(c, at), c[at], neighbours(codes, at)))
-                    n += len(at)
-                if n >= BATCH:
-                    context, target, near = map(np.concatenate, zip(*held))
-                    for low in range(0, n - BATCH + 1, BATCH):
-                        part = slice(low, low + BATCH)
-                        trainer.step(context[part], target[part], near[part])
-                    low += BATCH
-                    held, n = [(context[low:], target[low:], near[low:])], n - low
+        for docs, texts in _chunks(batches):
+            first = docs[0] if first is None else first
+            codes, c, at, within = laid_out(texts, classes)
+            start = np.repeat([(offset + (doc or 0)) % rounds for doc in docs], [len(t) for t in texts])
+            at = at[within % rounds == start]
+            held.append((contexts(c, at), c[at], neighbours(codes, at)))
+            n += len(at)
+            context, target, near = map(np.concatenate, zip(*held))
+            low = 0
+            while n - low >= BATCH:
+                part = slice(low, low + BATCH)
+                trainer.step(context[part], target[part], near[part])
+                low += BATCH
+            held, n = [(context[low:], target[low:], near[low:])], n - low
         if n:
             trainer.step(*map(np.concatenate, zip(*held)))
         if trainer.seen:
@@ -282,24 +337,34 @@ def train(encoded: DataFrame, classes: np.ndarray, counts: np.ndarray, rounds: i
     return net
 
 
+def pseudo_likelihoods(texts: list[np.ndarray], net: Network, classes: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """For each text the sum over its positions of log P(class | both sides) + log P(id | class); 0.0 without words.
+
+    Products start anew with every text, so that equal texts score the same wherever they stand.
+    """
+    codes, c, at, _ = laid_out(texts, classes)
+    context, near, target, room = contexts(c, at), neighbours(codes, at), c[at], np.empty((SLICE, CLASSES), np.float32)
+    out, start = np.zeros(len(texts)), 0
+    for i, text in enumerate(texts):
+        end, total = start + len(text), 0.0
+        for low in range(start, end, SLICE):
+            part = slice(low, min(end, low + SLICE))
+            total += net.log_probabilities(context[part], target[part], near[part], room).sum()
+        out[i], start = total + inner[text].sum(), end
+    return out
+
+
 def pseudo_likelihood(codes: np.ndarray, net: Network, classes: np.ndarray, inner: np.ndarray) -> float:
-    """Sum over all positions of log P(class | both sides) + log P(id | class); 0.0 for a text without words."""
-    c, total = classes[codes], 0.0
-    for start in range(0, len(c), SLICE):
-        at = np.arange(start, min(len(c), start + SLICE))
-        total += net.log_probabilities(contexts(c, at), c[at], neighbours(codes, at)).sum()
-    return float(total + inner[codes].sum())
+    return float(pseudo_likelihoods([codes], net, classes, inner)[0])
 
 
 def _scorer(sent: tuple[np.ndarray, np.ndarray], classes: np.ndarray, inner: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.of(np.concatenate(sent))
-        for b in batches:
-            codes = [np.frombuffer(c, np.uint16) for c in b.column("codes").to_pylist()]
+        for docs, texts in _chunks(batches):
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([len(c) for c in codes], pa.int64()),
-                 pa.array([pseudo_likelihood(c, net, classes, inner) for c in codes])],
-                names=["id", "n_tokens", "log_likelihood"])
+                [pa.array(docs, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array(pseudo_likelihoods(texts, net, classes, inner))], names=["id", "n_tokens", "log_likelihood"])
 
     return run
 

@@ -183,6 +183,17 @@ def test_every_position_is_a_target_once(monkeypatch):
     assert sorted(met) == list(range(lm_scoring.CLASSES))
 
 
+def test_texts_laid_out_together_see_their_own_neighbours():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, lm_scoring.BUCKETS, n).astype(np.uint16) for n in (0, 1, 5, 0, 3)]
+    classes = rng.integers(1, lm_scoring.CLASSES, lm_scoring.BUCKETS).astype(np.uint8)
+    codes, c, at, within = lm_scoring.laid_out(texts, classes)
+    alone = [np.arange(len(t)) for t in texts]
+    assert (within == np.concatenate(alone)).all() and (codes[at] == np.concatenate(texts)).all()
+    assert (lm_scoring.contexts(c, at) == np.concatenate([lm_scoring.contexts(classes[t], a) for t, a in zip(texts, alone)])).all()
+    assert (lm_scoring.neighbours(codes, at) == np.concatenate([lm_scoring.neighbours(t, a) for t, a in zip(texts, alone)])).all()
+
+
 def test_rare_words_tell_their_neighbours(spark):
     """Each of 600 words has one partner; texts of wrong partners have the same words, and mostly the same classes."""
     rng = np.random.default_rng(9)
