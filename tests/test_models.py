@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.models import classifiers as mc
+from docketry.models import huber
 from docketry.models import neighbours as nb
 from docketry.models.calibration import PlattModel
 from docketry.models.features import tfidf_stages
@@ -165,3 +168,32 @@ def test_word_without_letters_is_no_failure(spark, corpus):
     odd = spark.createDataFrame([(1, "price1 gear2"), (2, "..."), (3, None)], "app_id long, claim_text string")
     out = ex.explain(odd, model, "app_id", size=10, masks=40).collect()
     assert {r.app_id for r in out} == {1}
+
+
+def test_modified_huber_sums_meet_in_ranges_of_columns(spark):
+    """Steps as in plain numpy; what a step sends to the driver are a few rows, not one for each column."""
+    rng = np.random.default_rng(5)
+    wide, held = huber.COLUMNS + 40, []
+    for i in range(60):
+        at = sorted({int(x) for x in rng.choice([*range(20), *range(wide - 20, wide)], 6)})
+        held.append((SparseVector(wide, at, rng.random(len(at)).tolist()), i % 2))
+    df = spark.createDataFrame(
+        held, T.StructType([T.StructField("features", VectorUDT()), T.StructField("treated", T.IntegerType())]))
+    x, y = np.array([v.toArray() for v, _ in held]), np.array([2.0 * t - 1 for _, t in held])
+    w, b, velocity, velocity_b, alpha = np.zeros(wide), 0.0, np.zeros(wide), 0.0, 1e-4
+    for _ in range(5):
+        ahead, ahead_b = w + 0.9 * velocity, b + 0.9 * velocity_b
+        pull = huber.loss_slope(y * (x @ ahead + ahead_b)) * y
+        step = 1.0 / (4.0 + alpha)
+        velocity = 0.9 * velocity - step * (x.T @ pull / len(y) + alpha * ahead)
+        velocity_b = 0.9 * velocity_b - step * pull.sum() / len(y)
+        w, b = w + velocity, b + velocity_b
+    model = huber.ModifiedHuber(maxIter=5).fit(df)
+    got = np.array(model.getOrDefault(model.weights))
+    assert np.allclose(got, w[:len(got)], atol=1e-12) and not w[len(got):].any()
+    assert model.getOrDefault(model.bias) == pytest.approx(b, abs=1e-12)
+    point = spark.sparkContext.broadcast((np.zeros(wide), 0.0))
+    rows = huber.packed(df, "features", "treated")
+    parts = [r["part"] for r in rows.mapInArrow(huber._pulls(point), huber.PULLS).groupBy("part").applyInArrow(
+        huber._added, huber.PULLS).collect()]
+    assert sorted(parts) == [-1, 0, 1]
