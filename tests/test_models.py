@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -197,3 +198,12 @@ def test_modified_huber_sums_meet_in_ranges_of_columns(spark):
     parts = [r["part"] for r in rows.mapInArrow(huber._pulls(point), huber.PULLS).groupBy("part").applyInArrow(
         huber._added, huber.PULLS).collect()]
     assert sorted(parts) == [-1, 0, 1]
+
+
+def test_modified_huber_sums_without_a_number_give_way():
+    rows = [(np.array([3, 4, 6]), np.array([np.nan, 1.0, np.nan])), (np.array([3, 6]), np.array([2.0, np.nan]))]
+    table = pa.table({"part": pa.array([0, 0], pa.int32()), "at": [a.astype(np.int64).tobytes() for a, _ in rows],
+                      "g": [g.tobytes() for _, g in rows]})
+    out = huber._added(table)
+    assert np.frombuffer(out["at"][0].as_py(), np.int64).tolist() == [3, 4, 5, 6]
+    assert np.array_equal(np.frombuffer(out["g"][0].as_py()), [2.0, 1.0, 0.0, np.nan], equal_nan=True)
