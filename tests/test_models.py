@@ -111,6 +111,16 @@ def test_landmark_index_dots():
     assert np.allclose(LandmarkIndex(*split(b)).dots(*split(a)), a @ b.T)
 
 
+def test_frequent_columns_are_multiplied_as_a_matrix():
+    rng = np.random.default_rng(1)
+    a, b = (rng.random((k, 30)) * (rng.random((k, 30)) < np.linspace(0, 1, 30)) for k in (40, 25))
+    split = lambda m: ([np.flatnonzero(r) for r in m], [r[np.flatnonzero(r)] for r in m])
+    index = LandmarkIndex(*split(b), often=True)
+    assert 0 < len(index.table) < 30 and np.allclose(index.dots(*split(a)), a @ b.T)
+    far = [i - 7 for i in split(b)[0]], split(b)[1]  # columns below zero are found by search
+    assert np.allclose(LandmarkIndex(*far, often=True).dots([i - 7 for i in split(a)[0]], split(a)[1]), a @ b.T)
+
+
 def test_label_follows_margin_not_probability(spark):
     from pyspark.ml.linalg import Vectors
 

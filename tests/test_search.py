@@ -103,6 +103,50 @@ def test_term_rows_equal_pipeline_features(train):
     assert got == want
 
 
+def test_packed_products_are_those_of_the_terms(train):
+    """Products with the landmarks come from bytes, and are those of the weighted terms; also for rows without terms."""
+    empty = train.limit(1).select(F.lit(999).cast("long").alias("app_id"), F.lit(None).cast("string").alias("claim_text"), "treated")
+    folded = train.union(empty).select("claim_text", F.col("treated").cast("double").alias("label"),
+                                       (F.col("app_id") % 3).cast("int").alias("fold"))
+    rows = search.TermRows(folded, "custom", 2, 3, 20, 1)
+    assert dict(rows.packed.dtypes)["outside"] == "binary" and rows.packed.count() == 151
+    held = rows.rows.orderBy("id").collect()
+    flat = search.flat_terms({c: [r[c] for r in held] for c in ("term", "n", "tf", "outside")}, 3)
+    for setting in ({"max_n": 2, "max_df": 0.5, "min_df": 3, "use_idf": True}, {"max_n": 1, "max_df": 0.9, "min_df": 0, "use_idf": False}):
+        dots, grams, norms = rows.dots(setting)
+        got = np.array([np.append(np.frombuffer(r["dots"], np.float32), r["total"]) for r in dots.collect()])
+        want = np.zeros((151, 3, rows.m + 1), np.float32)
+        total = np.zeros((151, 3))
+        for f, (row, term, weight) in enumerate(search.weighted_terms(flat, rows.sizes, setting)):
+            marked = search.weighted_terms(search.flat_terms(rows.landmarks[f], 3), rows.sizes, setting)[f]
+            x, z = ({(r, t): w for r, t, w in zip(*part)} for part in ((row, term, weight), marked))
+            for (r, t), w in x.items():
+                want[r, f, :-1] += [w * z.get((j, t), 0.0) for j in range(rows.m)]
+                want[r, f, -1], total[r, f] = 1, total[r, f] + w
+            assert np.allclose(np.diag(grams[f]), norms[f])
+        want = np.concatenate([want.reshape(151, -1), total], axis=1)
+        assert np.allclose(np.sort(got, axis=0), np.sort(want, axis=0), atol=1e-5)
+
+
+def test_fits_in_memory_are_the_batched_ones():
+    """Losses first and curvature from a corner that moves lead where a full sum at every step leads."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4)).astype(np.float32).astype(float)
+    y = np.where(x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=300) > 0, 1.0, -1.0)
+    norms, dots = (x[:40]**2).sum(1), np.append(x @ x[:40].T, (x**2).sum(1)[:, None], axis=1)
+    inside = 220
+    for kind in [("rbf", 0.5, 1, 0.0, 1.0), ("poly", 0.3, 2, 0.1, 10.0), ("poly", 1.0, 1, 0.0, 0.1)]:
+        gram = kernel_values(dots[:40, :40], norms, norms, *kind[:4])
+        one, other = (margins.MarginProblem(0, *kind, gram, norms, inside) for _ in range(2))
+        k = margins._kernel_with_one(dots, norms, *kind[:4])
+        margins.solve(one, k, y, inside, k[:inside].T @ k[:inside])
+        while not other.done:
+            other.advance(margins._row_sums(k, y, np.arange(300) >= inside, margins.WIDTHS[other.narrowed], other.base,
+                                            other.direction, other.step))
+        assert one.held_out == other.held_out and one.held_out[1] == 80
+        assert one.value == pytest.approx(other.value, rel=1e-9) and np.allclose(one.base, other.base, atol=1e-6)
+
+
 def test_vector_search(train):
     grid = {"size": [8], "min_count": [1], "epochs": [3], "C": [1.0, 10.0], "kernel": ["rbf", "linear"], "degree": [2], "coef0": [0.0]}
     out = search.random_search(train, "doc_vectors", n_iter=3, folds=2, grid=grid, landmarks=40).collect()
