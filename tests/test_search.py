@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,30 @@ def test_fits_in_memory_are_the_batched_ones():
         assert one.value == pytest.approx(other.value, rel=1e-9) and np.allclose(one.base, other.base, atol=1e-6)
 
 
+def test_classifiers_of_one_kernel_share_its_values(monkeypatch):
+    """A batch's kernel values are computed once for the classifier of all rows and those of the folds; sums are each one's own."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    norms, dots = (x[:20].astype(float)**2).sum(1), np.append(x @ x[:20].T, (x**2).sum(1)[:, None], axis=1).astype(np.float32)
+    y, folds = np.where(x[:, 0] > 0, 1.0, -1.0), np.arange(60) % 3
+    gram = kernel_values(x[:20].astype(float) @ x[:20].T, norms, norms, "rbf", 0.5, 1, 0.0)
+    problems = [margins.MarginProblem(f, "rbf", 0.5, 1, 0.0, 1.0, gram, norms, 40) for f in (-1, 0, 1, 2)]
+    for p in problems:
+        p.base, p.direction = rng.normal(size=(2, 21))
+    batch = pa.RecordBatch.from_pydict({"label": y * 0.5 + 0.5, "fold": pa.array(folds, pa.int32()),
+                                        "dots": pa.array([d.tobytes() for d in dots], pa.binary())})
+    calls, plain = [], margins._kernel_with_one
+    monkeypatch.setattr(margins, "_kernel_with_one", lambda *a: calls.append(1) or plain(*a))
+    out = next(margins._sums(list(enumerate(p.spec() for p in problems)), 1, 20)([batch])).to_pydict()
+    assert len(calls) == 1 and out["problem"] == [0, 1, 2, 3]
+    k = plain(dots, norms, "rbf", 0.5, 1, 0.0)
+    for p, stats in zip(problems, out["stats"]):
+        assert np.allclose(stats, margins._row_sums(k, y, folds == p.fold, margins.WIDTHS[0], p.base, p.direction, p.step))
+        own = k[folds != p.fold]
+        assert np.allclose(stats[2 + len(margins.STEPS):][:21], margins._slopes(
+            y[folds != p.fold] * (own @ (p.base + p.direction)), y[folds != p.fold], margins.WIDTHS[0])[0] @ own)
+
+
 def test_vector_search(train):
     grid = {"size": [8], "min_count": [1], "epochs": [3], "C": [1.0, 10.0], "kernel": ["rbf", "linear"], "degree": [2], "coef0": [0.0]}
     out = search.random_search(train, "doc_vectors", n_iter=3, folds=2, grid=grid, landmarks=40).collect()
