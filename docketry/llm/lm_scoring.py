@@ -44,9 +44,8 @@ WORD_SQUARES = 1e-6  # Adagrad's start for word rows, low as most words are in f
 
 def encode(text: str | None) -> np.ndarray:
     """Word ids of a text: CRC-32 of the lower-case word, 16 bits."""
-    crc = zlib.crc32
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    return np.fromiter((crc(w) & (BUCKETS - 1) for w in words), np.uint16, len(words))
+    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & (BUCKETS - 1)).astype(np.uint16)
 
 
 def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +226,12 @@ class _Trainer:
         """Gradient of the class rows; word rows take their step."""
         if near is not None:
             places, ids = _in_order(near.T.ravel())
-            starts = np.flatnonzero(np.diff(ids, prepend=-1))
-            self._word_step(ids[starts], np.diff(starts, append=len(ids)), _summed(back.take(places % len(back), axis=0), starts))
+            starts = _starts(ids)
+            met = np.empty_like(starts)
+            met[:-1], met[-1] = starts[1:] - starts[:-1], len(ids) - starts[-1]
+            self._word_step(ids[starts], met, _summed(back.take(places % len(back), axis=0), starts))
         places, cells = _in_order((context + np.arange(0, 2 * SIDE * CLASSES, CLASSES)).T.ravel())
-        starts = np.flatnonzero(np.diff(cells, prepend=-1))
+        starts = _starts(cells)
         grad = np.zeros((2 * SIDE * CLASSES, HIDDEN), np.float32)
         grad[cells[starts]] = _summed(back.take(places % len(back), axis=0), starts)
         return grad.reshape(self.net.rows.shape)
@@ -248,10 +249,19 @@ class _Trainer:
 def _in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the numbers in ascending order, equal ones by place, and the numbers so ordered."""
     bits = len(x).bit_length()
-    keys = np.sort((x.astype(np.int64) << bits) + np.arange(len(x)))
+    kind = np.int32 if 2 * WORDS << bits < 1 << 31 else np.int64  # numbers are word rows or fewer
+    keys = np.sort((x.astype(kind) << bits) + np.arange(len(x), dtype=kind))
     return keys & ((1 << bits) - 1), keys >> bits
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a new number starts among ordered ones."""
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _summed(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of neighbouring rows, from each start to the next; two floats are added as one complex number."""
     return np.add.reduceat(rows.view(np.complex64), starts).view(np.float32)

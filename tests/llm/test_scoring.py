@@ -127,6 +127,18 @@ def test_gradient_is_the_numerical_one():
                 assert np.sign(net.rows[k, c, h] - trainer.net.rows[k, c, h]) == np.sign(slope)
 
 
+def test_places_in_order_are_narrow_and_stable():
+    """Keys of a training step fit 32 bits; equal numbers stay in the order of their places."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2 * lm_scoring.WORDS, 4 * lm_scoring.BATCH).astype(np.int32)
+    x[::3] = 2 * lm_scoring.WORDS - 1
+    places, ids = lm_scoring._in_order(x)
+    assert ids.dtype == np.int32 and (places == np.argsort(x, kind="stable")).all() and (ids == np.sort(x)).all()
+    assert (lm_scoring._starts(ids) == np.unique(ids, return_index=True)[1]).all()
+    long = rng.integers(0, 2 * lm_scoring.WORDS, 20_000)
+    assert (lm_scoring._in_order(long)[0] == np.argsort(long, kind="stable")).all()
+
+
 def test_scores_are_sums_over_positions(documents, texts):
     rows = {r["doc_id"]: r for r in lm_scoring.score(documents).collect()}
     assert set(rows) == set(texts)
