@@ -56,16 +56,15 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
-    for b in batches:
-        for codes in b.column("codes").to_pylist():
-            total += np.bincount(np.frombuffer(codes, np.uint16), minlength=BUCKETS)
+    for _, texts in _chunks(batches):  # some texts at once, as each sum runs over all ids
+        total += np.bincount(np.concatenate(texts), minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
 
 
 def bucket_counts(encoded: DataFrame) -> np.ndarray:
     """Counts of all ids over all texts; each task sums its own texts first."""
-    rows = encoded.select("codes").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = encoded.mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for r in rows.collect():  # BUCKETS rows at most
         out[r["bucket"]] = r["n"]
@@ -98,7 +97,7 @@ class Network:
     b: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    words: np.ndarray  # (2 * WORDS, HIDDEN), left and right of a position, zero until trained
+    words: np.ndarray  # (2 * WORDS, HIDDEN), by turns left and right of a position, zero until trained
 
     @staticmethod
     def start(class_counts: np.ndarray) -> Network:
@@ -127,30 +126,58 @@ class Network:
         return Network(rows.reshape(2 * SIDE, CLASSES, HIDDEN).copy(), b.copy(),
                        out.reshape(HIDDEN, CLASSES).copy(), bias.copy(), words.reshape(-1, HIDDEN).copy())
 
-    def hidden(self, context: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
-        h, more = self.rows[0].take(context[:, 0], axis=0), np.empty((len(context), HIDDEN), np.float32)
+    def hidden(self, context: np.ndarray, near: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
+        """Values of the hidden layer; ``words`` are the rows that ``near`` numbers, if not all word rows."""
+        h = self.rows[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            h += self.rows[k].take(context[:, k], axis=0, out=more, mode="clip")
+            h += self.rows[k].take(context[:, k], axis=0)
         if near is not None:
+            words = self.words if words is None else words
             for k in range(2 * SIDE):
-                h += self.words.take(near[:, k], axis=0, out=more, mode="clip")
+                h += words.take(near[:, k], axis=0)
+        return self._bent(h)
+
+    def hidden_of_text(self, classes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The same for all positions of a text in a row, ``SIDE`` more at both ends; each word is looked up once a side."""
+        n, steps = len(codes) - 2 * SIDE, [k for k in range(2 * SIDE + 1) if k != SIDE]
+        sides = [self.words.take(2 * codes + side, axis=0) for side in range(2)]
+        h = self.rows[0].take(classes[:n], axis=0)
+        for k in range(1, 2 * SIDE):
+            h += self.rows[k].take(classes[steps[k]:steps[k] + n], axis=0)
+        for k in range(2 * SIDE):
+            h += sides[k // SIDE][steps[k]:steps[k] + n]
+        return self._bent(h)
+
+    def _bent(self, h: np.ndarray) -> np.ndarray:
         h += self.b
         return np.tanh(h, out=h)
 
-    def odds(self, h: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
-        """Logits, lowered to at most 0 where their exp could overflow; ``room`` is memory for them."""
+    def most(self) -> float:
+        """Bound of all logits, as hidden values lie within -1 and 1."""
+        return float(np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max())
+
+    def odds(self, h: np.ndarray, room: np.ndarray | None = None, safe: bool | None = None) -> np.ndarray:
+        """Logits, lowered to at most 0 where their exp could overflow, unless ``safe``; ``room`` is memory for them."""
         logits = np.matmul(h, self.out, out=None if room is None else room[:len(h)])
         logits += self.bias
-        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > SAFE:  # hidden values lie within -1 and 1
+        if not (self.most() <= SAFE if safe is None else safe):
             logits -= logits.max(axis=1, keepdims=True)
         return logits
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None,
-                          room: np.ndarray | None = None) -> np.ndarray:
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
         """log P(target class | neighbours) of each position; ``near`` are the word rows of the neighbours."""
-        logits = self.odds(self.hidden(context, near), room)
-        chosen = logits[np.arange(len(target)), target].astype(np.float64)
-        return chosen - np.log((np.exp(logits, out=logits) @ ONES).astype(np.float64))
+        return _log_probabilities(self.odds(self.hidden(context, near)), target)
+
+    def log_probabilities_of_text(self, classes: np.ndarray, codes: np.ndarray, room: np.ndarray | None = None,
+                                  safe: bool | None = None) -> np.ndarray:
+        """The same for all positions of a text in a row, ``SIDE`` more at both ends; ``room`` and ``safe`` as in odds()."""
+        logits = self.odds(self.hidden_of_text(classes, codes), room, safe)
+        return _log_probabilities(logits, classes[SIDE:len(classes) - SIDE])
+
+
+def _log_probabilities(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    chosen = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + target).astype(np.float64)
+    return chosen - np.log((np.exp(logits, out=logits) @ ONES).astype(np.float64))
 
 
 def laid_out(texts: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,59 +218,112 @@ def neighbours(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     edge = np.full(SIDE, BUCKETS, np.int32)
     padded = np.concatenate((edge, codes.astype(np.int32), edge))
     steps = [k for k in range(2 * SIDE + 1) if k != SIDE]
-    return np.stack([padded[at + k] + np.int32(i // SIDE * WORDS) for i, k in enumerate(steps)], axis=1)
+    return np.stack([2 * padded[at + k] + np.int32(i // SIDE) for i, k in enumerate(steps)], axis=1)
 
 
 class _Trainer:
     """Adagrad over mini-batches, local to a task."""
 
     def __init__(self, net: Network):
-        self.net, self.seen = net, 0
-        self.squares = [np.full_like(x, 1e-2) for x in (net.rows, net.b, net.out, net.bias)]
+        self.net, self.seen, self.most = net, 0, np.inf
+        self.rest = np.concatenate([x.ravel() for x in (net.b, net.out, net.bias)])
+        net.b, net.out, net.bias = _parts(self.rest)
+        self.squares = [np.full_like(x, 1e-2) for x in (net.rows, self.rest)]
         self.word_squares = np.full_like(net.words, WORD_SQUARES)
-        self.met = np.zeros(len(net.words), np.int64)  # how often each word row was met
         self.room = np.empty((0, CLASSES), np.float32)  # taken once, a step's largest array
 
     def step(self, context: np.ndarray, target: np.ndarray, near: np.ndarray | None = None) -> None:
         net, n = self.net, np.float32(len(target))
-        h = net.hidden(context, near)
+        context = context.astype(np.intp, order="F")  # a column is an index as it stands
+        if near is None:
+            h = net.hidden(context)
+        else:  # a word row is read once a step, however often the batch meets it, and written once
+            met = _Groups.of(near.T.ravel())
+            words = net.words.take(met.values, axis=0)
+            h = net.hidden(context, met.numbers().reshape(2 * SIDE, -1).T, words)
         if len(self.room) < len(h):
             self.room = np.empty((len(h), CLASSES), np.float32)
-        p = net.odds(h, self.room)
+        p = net.odds(h, self.room, self._safe())
         np.exp(p, out=p)
         p *= (1 / (n * (p @ ONES)))[:, None]
-        p[np.arange(len(target)), target] -= 1 / n
+        p.reshape(-1)[np.arange(0, p.size, CLASSES) + target] -= 1 / n
         back = p @ net.out.T
         back *= 1 - h * h
-        grad = self._neighbour_gradients(context, near, back)
-        for x, s, g in zip((net.rows, net.b, net.out, net.bias), self.squares,
-                           (grad, back.sum(axis=0), h.T @ p, np.ones(len(p), np.float32) @ p)):
+        if near is not None:
+            self._word_step(met.values, words, met.sums(back))
+        cells = _Groups.of((context.T + np.arange(0, 2 * SIDE * CLASSES, CLASSES, dtype=np.int32)[:, None]).ravel())
+        rows, rest = np.zeros((2 * SIDE * CLASSES, HIDDEN), np.float32), np.empty_like(self.rest)
+        rows[cells.values] = _summed(back.take(cells.rows(len(back)), axis=0), cells.starts)
+        b, out, bias = _parts(rest)
+        np.einsum("ij->j", back, out=b)
+        np.matmul(h.T, p, out=out)
+        np.matmul(np.ones(len(p), np.float32), p, out=bias)
+        for x, s, g in zip((net.rows, self.rest), self.squares, (rows.reshape(net.rows.shape), rest)):
             s += g * g
-            x -= RATE * g / np.sqrt(s)
+            g *= np.float32(RATE)
+            g /= np.sqrt(s)
+            x -= g
         self.seen += len(target)
 
-    def _neighbour_gradients(self, context: np.ndarray, near: np.ndarray | None, back: np.ndarray) -> np.ndarray:
-        """Gradient of the class rows; word rows take their step."""
-        if near is not None:
-            places, ids = _in_order(near.T.ravel())
-            starts = _starts(ids)
-            met = np.empty_like(starts)
-            met[:-1], met[-1] = starts[1:] - starts[:-1], len(ids) - starts[-1]
-            self._word_step(ids[starts], met, _summed(back.take(places % len(back), axis=0), starts))
-        places, cells = _in_order((context + np.arange(0, 2 * SIDE * CLASSES, CLASSES)).T.ravel())
-        starts = _starts(cells)
-        grad = np.zeros((2 * SIDE * CLASSES, HIDDEN), np.float32)
-        grad[cells[starts]] = _summed(back.take(places % len(back), axis=0), starts)
-        return grad.reshape(self.net.rows.shape)
-
-    def _word_step(self, rows: np.ndarray, met: np.ndarray, g: np.ndarray) -> None:
-        self.met[rows] += met
-        s = self.word_squares.take(rows, axis=0)
+    def _safe(self) -> bool:
+        """Whether no exp of a logit overflows; a step moves no weight by more than RATE, so few steps look at all."""
+        self.most += RATE * (HIDDEN + 1)
+        if self.most > SAFE:
+            self.most = self.net.most()
+        return self.most <= SAFE
+
+    def _word_step(self, at: np.ndarray, words: np.ndarray, g: np.ndarray) -> None:
+        """Step of the word rows at these places; ``words`` holds them, ``g`` is their gradient, both are used up."""
+        s = self.word_squares.take(at, axis=0)
         s += g * g
-        self.word_squares[rows] = s
+        self.word_squares[at] = s
         g *= np.float32(RATE)
         g /= np.sqrt(s, out=s)
-        self.net.words[rows] -= g
+        words -= g
+        self.net.words[at] = words
+
+
+def _parts(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """b, out and bias, which lie in one array."""
+    return rest[:HIDDEN], rest[HIDDEN:-CLASSES].reshape(HIDDEN, CLASSES), rest[-CLASSES:]
+
+
+@dataclass
+class _Groups:
+    """Equal numbers of an array, in ascending order."""
+
+    values: np.ndarray  # each number once
+    places: np.ndarray  # of all numbers in order, equal ones by place
+    new: np.ndarray  # whether another number than the one before
+    starts: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> _Groups:
+        places, ordered = _in_order(x)
+        starts, new = _starts(ordered), np.zeros(len(x), bool)
+        new[starts] = True
+        return _Groups(ordered.take(starts).astype(np.intp), places.astype(np.intp), new, starts)
+
+    def numbers(self) -> np.ndarray:
+        """The group of each place."""
+        out = np.empty(len(self.places), np.intp)
+        out[self.places] = np.cumsum(self.new) - 1
+        return out
+
+    def rows(self, n: int) -> np.ndarray:
+        """Places that run through ``n`` rows again and again, as rows."""
+        return self.places & (n - 1) if n & (n - 1) == 0 else self.places % n
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Sum of the rows of each group, of which many have one place only."""
+        at = self.rows(len(rows))
+        alone = self.new.copy()  # a start before another start
+        alone[:-1] &= self.new[1:]
+        out, more = rows.take(at.take(self.starts), axis=0), np.flatnonzero(~alone)
+        if len(more):
+            starts = np.flatnonzero(self.new.take(more))
+            out[np.flatnonzero(~alone.take(self.starts))] = _summed(rows.take(at.take(more), axis=0), starts)
+        return out
 
 
 def _in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,12 +355,14 @@ def _local_training(sent: tuple[np.ndarray, np.ndarray], classes: np.ndarray, of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, held, n, first = _Trainer(Network.of(np.concatenate(sent))), [], 0, None
+        times = np.zeros(2 * WORDS, np.int64)  # how often each word row was met
         for docs, texts in _chunks(batches):
             first = docs[0] if first is None else first
             codes, c, at, within = laid_out(texts, classes)
             start = np.repeat([(offset + (doc or 0)) % rounds for doc in docs], [len(t) for t in texts])
             at = at[within % rounds == start]
             held.append((contexts(c, at), c[at], neighbours(codes, at)))
+            times += np.bincount(held[-1][2].ravel(), minlength=2 * WORDS)
             n += len(at)
             context, target, near = map(np.concatenate, zip(*held))
             low = 0
@@ -292,12 +374,12 @@ def _local_training(sent: tuple[np.ndarray, np.ndarray], classes: np.ndarray, of
         if n:
             trainer.step(*map(np.concatenate, zip(*held)))
         if trainer.seen:
-            slot, met = zlib.crc32(str(first).encode()) % MERGE, np.flatnonzero(trainer.met)
+            slot, met = zlib.crc32(str(first).encode()) % MERGE, np.flatnonzero(times)
             rows = [(-1, np.zeros(1, np.int64), np.array([trainer.seen]), trainer.net.dense())]
             for part in range(PARTS):
                 ids = met[met % PARTS == part]
                 if len(ids):
-                    rows.append((part, ids, trainer.met[ids], trainer.net.words[ids].astype(np.float16)))
+                    rows.append((part, ids, times[ids], trainer.net.words[ids].astype(np.float16)))
             for part, *arrays in rows:
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part], pa.int64()), "slot": pa.array([slot], pa.int64()),
@@ -352,15 +434,15 @@ def pseudo_likelihoods(texts: list[np.ndarray], net: Network, classes: np.ndarra
 
     Products start anew with every text, so that equal texts score the same wherever they stand.
     """
-    codes, c, at, _ = laid_out(texts, classes)
-    context, near, target, room = contexts(c, at), neighbours(codes, at), c[at], np.empty((SLICE, CLASSES), np.float32)
-    out, start = np.zeros(len(texts)), 0
+    out, room, safe = np.zeros(len(texts)), np.empty((SLICE, CLASSES), np.float32), net.most() <= SAFE
+    edge, with_edge = np.full(SIDE, BUCKETS, np.intp), np.append(classes, np.uint8(0))
     for i, text in enumerate(texts):
-        end, total = start + len(text), 0.0
-        for low in range(start, end, SLICE):
-            part = slice(low, min(end, low + SLICE))
-            total += net.log_probabilities(context[part], target[part], near[part], room).sum()
-        out[i], start = total + inner[text].sum(), end
+        codes, total = np.concatenate((edge, text, edge)), 0.0
+        c = with_edge[codes].astype(np.intp)
+        for low in range(0, len(text), SLICE):
+            part = slice(low, low + SLICE + 2 * SIDE)
+            total += net.log_probabilities_of_text(c[part], codes[part], room, safe).sum()
+        out[i] = total + inner[text].sum()
     return out
 
 

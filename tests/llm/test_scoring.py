@@ -206,6 +206,92 @@ def test_texts_laid_out_together_see_their_own_neighbours():
     assert (lm_scoring.neighbours(codes, at) == np.concatenate([lm_scoring.neighbours(t, a) for t, a in zip(texts, alone)])).all()
 
 
+class Counted(np.ndarray):
+    """An array that notes how many of its rows are read."""
+
+    read = 0
+
+    def take(self, at, **options):
+        Counted.read += np.size(at)
+        return np.asarray(self).take(at, **options)
+
+
+def word_network(rng):
+    net = lm_scoring.Network.start(np.ones(lm_scoring.CLASSES))
+    net.words[:] = rng.normal(0, 0.1, net.words.shape)
+    return net
+
+
+def test_a_step_reads_a_word_row_once(monkeypatch):
+    """The rows and their squares are read once for each word of a batch, and move by the sum over its positions."""
+    rng = np.random.default_rng(10)
+    near = 2 * rng.integers(0, 90, (300, 4)) + np.array([0, 0, 1, 1])
+    near[:, 2] = 2 * rng.integers(1000, 60_000, 300) + 1  # most of these occur once
+    ctx, tgt = rng.integers(0, lm_scoring.CLASSES, (300, 4)), rng.integers(0, lm_scoring.CLASSES, 300)
+    net = word_network(rng)
+    before = lm_scoring.Network.of(net.flat())
+    net.words = net.words.view(Counted)
+    trainer = lm_scoring._Trainer(net)
+    monkeypatch.setattr(Counted, "read", 0)
+    trainer.step(ctx, tgt, near)
+    assert Counted.read == 2 * len(np.unique(near))
+    h = before.hidden(ctx, near)
+    p = np.exp(before.odds(h))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(300), tgt] -= 1
+    back = (p / 300 @ before.out.T) * (1 - h * h)
+    grad = np.zeros(net.words.shape)
+    np.add.at(grad, near, back[:, None])
+    want = before.words - lm_scoring.RATE * grad / np.sqrt(lm_scoring.WORD_SQUARES + grad * grad)
+    assert np.allclose(net.words, want, atol=1e-4) and (net.words != before.words).any()
+
+
+def test_a_text_looks_its_words_up_once(monkeypatch):
+    """One row a side for each word of a text and the edges; the same values to the last bit as position by position."""
+    rng = np.random.default_rng(11)
+    texts = [rng.integers(0, lm_scoring.BUCKETS, n).astype(np.uint16) for n in (0, 1, 2, 7, 300)]
+    classes = rng.integers(1, lm_scoring.CLASSES, lm_scoring.BUCKETS).astype(np.uint8)
+    inner = rng.normal(-5, 1, lm_scoring.BUCKETS)
+    net = word_network(rng)
+    want = []
+    for t in texts:
+        at = np.arange(len(t))
+        c = classes[t]
+        want.append(net.log_probabilities(lm_scoring.contexts(c, at), c, lm_scoring.neighbours(t, at)).sum() + inner[t].sum()
+                    if len(t) else 0.0)
+    net.words = net.words.view(Counted)
+    monkeypatch.setattr(Counted, "read", 0)
+    assert lm_scoring.pseudo_likelihoods(texts, net, classes, inner).tolist() == want
+    assert Counted.read == 2 * sum(len(t) + 2 * lm_scoring.SIDE for t in texts if len(t))
+
+
+def test_words_of_many_texts_are_counted_together(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [rng.integers(0, lm_scoring.BUCKETS, 20).astype(np.uint16) for _ in range(200)] + [np.empty(0, np.uint16)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(201), pa.int64()), "codes": pa.array([t.tobytes() for t in texts])})
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(lm_scoring.np, "bincount", lambda *a, **k: (calls.append(1), bincount(*a, **k))[1])
+    rows = [r for b in lm_scoring._count(iter([batch])) for r in b.to_pylist()]
+    assert len(calls) == 1
+    ids, n = np.unique(np.concatenate(texts), return_counts=True)
+    assert [(r["bucket"], r["n"]) for r in rows] == list(zip(ids.tolist(), n.tolist()))
+
+
+def test_overflow_is_seen_before_it_happens():
+    """A trainer looks at its weights again before steps could have taken a logit beyond the safe bound."""
+    rng = np.random.default_rng(13)
+    net = word_network(rng)
+    trainer = lm_scoring._Trainer(net)
+    ctx, tgt = rng.integers(0, 9, (64, 4)), rng.integers(0, 9, 64)
+    for _ in range(40):
+        trainer.step(ctx, tgt)
+        assert trainer.most + lm_scoring.RATE * (lm_scoring.HIDDEN + 1) >= net.most()
+    net.out *= 1000
+    trainer.most = net.most()
+    trainer.step(ctx, tgt)
+    assert np.isfinite(net.flat()).all()
+
+
 def test_rare_words_tell_their_neighbours(spark):
     """Each of 600 words has one partner; texts of wrong partners have the same words, and mostly the same classes."""
     rng = np.random.default_rng(9)
