@@ -172,6 +172,25 @@ def test_classifiers_of_one_kernel_share_its_values(monkeypatch):
             y[folds != p.fold] * (own @ (p.base + p.direction)), y[folds != p.fold], margins.WIDTHS[0])[0] @ own)
 
 
+def test_more_rows_than_a_group_are_all_fitted(train, monkeypatch):
+    """Rows that stay in their tasks lead to the accuracies of those that meet in one group."""
+    one = {r["draw"]: r["mean_test_score"] for r in search.random_search(train, n_iter=3, folds=2, grid=GRID, landmarks=16).collect()}
+    monkeypatch.setattr(margins, "GROUP_ROWS", 20)
+    monkeypatch.setattr(search, "KEPT", 1 << 30)
+    other = {r["draw"]: r["mean_test_score"] for r in search.random_search(train, n_iter=3, folds=2, grid=GRID, landmarks=16).collect()}
+    assert other == pytest.approx(one, abs=0.014) and len(one) == 3
+
+
+def test_no_labelled_row_is_left_out(spark, monkeypatch):
+    """There were 20,000 rows at most before."""
+    rows = spark.range(20_100).selectExpr("id app_id", "concat('gear', id % 7, ' price', id % 3, ' ', id) claim_text", "cast(id % 7 > 3 as int) treated")
+    seen, plain = [], search.held_out_hits
+    monkeypatch.setattr(search, "held_out_hits", lambda *a: seen.append(plain(*a)) or seen[-1])
+    grid = {k: v[:1] for k, v in GRID.items()} | {"kernel": ["linear"]}
+    assert search.random_search(rows, n_iter=1, folds=2, grid=grid, landmarks=8).count() == 1
+    assert sum(held for _, held in seen[0].values()) == 20_100
+
+
 def test_vector_search(train):
     grid = {"size": [8], "min_count": [1], "epochs": [3], "C": [1.0, 10.0], "kernel": ["rbf", "linear"], "degree": [2], "coef0": [0.0]}
     out = search.random_search(train, "doc_vectors", n_iter=3, folds=2, grid=grid, landmarks=40).collect()
