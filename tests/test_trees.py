@@ -106,3 +106,31 @@ def test_level_over_many_blocks_is_that_of_one(spark):
     assert whole.count() >= 1 and cut.count() > 1
     found = [trees.grow(b, 4)[0] for b in (whole, cut)]
     assert found[0].feature == found[1].feature and found[0].cut == found[1].cut and found[0].total == found[1].total
+
+
+@pytest.mark.parametrize("kind", ["boosting", "stumps", "tree"])
+def test_a_level_is_one_pass_and_exchanges_no_sums(spark, monkeypatch, kind):
+    """Trees over blocks of columns; rounds do not place rows by all trees so far, as they did."""
+    passes, plain = [], trees.Columns._best
+    monkeypatch.setattr(trees.Columns, "_best", lambda self, *a: passes.append(1) or plain(self, *a))
+    monkeypatch.setattr(trees, "COLUMN_BLOCK", 40)
+    for name in ("place", "grow_level", "roots"):
+        monkeypatch.setattr(trees, name, None)
+    df = table(spark, n=120, seed=11).repartition(3)
+    est = {"boosting": SparseBoosting(rounds=5), "stumps": BoostedStumps(rounds=4), "tree": SparseTree(depth=6)}[kind]
+    model = est.fit(df)
+    rounds = json.loads(model.getOrDefault(model.state))
+    assert 1 <= len(passes) <= {"boosting": 15, "stumps": 4, "tree": 6}[kind] and rounds
+    assert model.transform(df).filter(F.col("prediction") == F.col("treated")).count() > 80
+
+
+def test_trees_by_columns_are_those_by_rows(spark):
+    df = table(spark, n=300, seed=13)
+    held = trees.Columns(df, "features", "treated")
+    tree, node = held.grow(5, "gini", 1 - held.label, held.label)
+    rows, _ = trees.binned(df, "features", "treated")
+    other, = trees.grow(trees.packed(rows), 5)
+    tree.prune()
+    assert tree.feature == other.feature and tree.cut == other.cut and tree.total == other.total
+    held.unpersist()
+    assert all(tree.total[n][0] == (node == n).sum() for n in set(node.tolist()))
