@@ -134,3 +134,15 @@ def test_trees_by_columns_are_those_by_rows(spark):
     assert tree.feature == other.feature and tree.cut == other.cut and tree.total == other.total
     held.unpersist()
     assert all(tree.total[n][0] == (node == n).sum() for n in set(node.tolist()))
+
+
+def test_nodes_are_sent_in_few_bytes(spark):
+    """Routes of a training pass had 32 bytes a node, nodes of the model 48."""
+    df = table(spark, n=300, seed=13)
+    state, = json.loads((model := SparseTree(depth=8).fit(df)).getOrDefault(model.state))
+    n = len(state["feature"])
+    assert n > 40 and sum(x.nbytes for x in trees._sent(state, 2)) <= 25 * n
+    tree = trees.Tree((4.0, 2.0, 2.0), "gini")
+    tree.extend([(0, 40_000_000, 31, 2.0, 1.0, 1.0)], False)
+    arrays, _ = tree.routes()
+    assert sum(x.nbytes for x in arrays) == 9 * len(tree.total) and [int(x[0]) for x in arrays] == [40_000_000, 31, 1]
